@@ -40,7 +40,7 @@ PLACEHOLDERS = {
     "single_brace": rf"(?<![\p{{IsLatin}}\p{{N}}])\{{(?!otu_?0)(?:{_NAME}|0)\}}",
     "asks": rf"[\[<【«‹]\s*{_ASK}(?![\p{{Ll}}])[^\[\]<>【】]{{0,90}}[\]>】»›]",
     "mark": r"‹unfilled›",
-    "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,}|tbd)(?![\p{IsLatin}\p{N}])|todo:)",
+    "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,}|n{3,}|tbd)(?![\p{IsLatin}\p{N}])|todo:)|\?{2,}\.\?{2,}|\?{4,}",
 }
 
 #: Words of a sentence that speaks of a placeholder instead of holding one.
@@ -89,6 +89,7 @@ FAILURES = [
     r"^something went wrong\b|^we (?:could not|couldn.t) find that (?:page|plate)|^this \w+ is not available right now",
     r"^(?:your session (?:has )?(?:expired|timed out)|you have been signed out|you do not have permission to|request limit reached|sign in again to)",
     r"^traceback \(most recent call last\)|^file \"[^\"]+\", line 0, in |^\w*(?:key|value|type|timeout|runtime|attribute|index|name|import|io|os|connection|zerodivision|assertion|memory|permission|lookup|syntax|reference|range|unicode\w*|filenotfound)error: |^(?:[a-z_]+\.)+\w*(?:exception|error)\b|^(?:warning|notice|fatal error|parse error|deprecated): (?:undefined|division|failed|cannot|can.t|invalid|uncaught|include|call to|array to|trying to|allowed memory|maximum|unexpected|mysql|session)|^exception in thread|^uncaught \w|^caused by: |^at [\w.$]+\([\w.]+:0\)|^stack trace:|^segmentation fault|^null ?pointer ?exception|^core dumped",
+    r"^(?:could not|cannot|can.t|unable to|failed to) (?:connect to|reach|load|open|fetch|retrieve|contact|render) the (?:database|server|page|resource|host|site|template|service)\b",
     r"^upstream (?:timed out|connect error|request timeout)|^the (?:connection (?:was reset|timed out|has timed out)|origin took too long|server (?:encountered|is (?:temporarily|too busy|overloaded)|returned an error|did not respond))|^error establishing a database connection|^(?:query|connection|request) failed: |^connection (?:refused|reset|timed out)|^no healthy upstream|^dns_|^err_[a-z_]+",
     r"^(?:the |this )?(?:service|site|page|server|viewer|website|archive) is (?:currently |temporarily )?(?:offline|down|unavailable|under maintenance|not available|closed for maintenance)|^temporarily (?:closed|unavailable|down|offline) (?:for|due)|^(?:down|closed) for (?:scheduled )?maintenance|^scheduled maintenance in progress|^(?:access|permission) denied\s*(?:$|[.:(0])",
     r"^fehler 0\b.{0,8}(?:die|seite|interner|zugriff|dienst)|^es ist ein (?:interner |unerwarteter )?fehler aufgetreten|^(?:die )?(?:angeforderte )?seite (?:wurde )?nicht gefunden|^zugriff verweigert|^(?:ihre )?sitzung (?:ist )?abgelaufen|^bitte melden sie sich erneut an|^(?:der )?dienst (?:ist )?(?:derzeit |vor.{1,3}bergehend )?nicht (?:verf|erreich)|^interner serverfehler|^wegen wartung|^wartungsarbeiten",
@@ -144,7 +145,7 @@ def judge(message: Column, wide: Column) -> Column:
 
 
 #: Cheap test that every message that could be judged passes; what fails it never leaves its task.
-_CUE = r"[{}\[\]<>【@|%$]|__|‹unfilled›|x{3}|tbd|todo:|\?$|0|error|err_|exception|fehler|erreur|错|出错|失败|拒绝|过期|失效|不存在|不可用|未找到|无法|维护|稍后|抱歉|权限|无权|请|浏览器|脚本|script|cookie|browser|navig|lorem|ipsum|(?:^| )(?:elit|velit|nisi|magna|sed|quis|amet|dolor|veniam|fugiat|mollit|aute|culpa)(?: |$)|asdf|qwer|uiop|zxcv|hjkl|jkl;|dfgh|aaaa|click|insert|here goes|replace|^add |^this is|^your |text|placeholder|platzhalter|hier steht|descri|示例|占位|补充|在此|found|forbidden|unauthori|denied|gone|gateway|unavailable|requests|oops|sorry|went wrong|available|session|sesi|sitzung|signed|permission|limit|sign in|traceback|file \"|warning|notice|uncaught|caused by|stack|segmentation|upstream|connection|origin took|server|failed|service|dienst|offline|maintenance|wartung|closed|patience|try again|retry|reload|start page|request id|zugriff|melden sie|page |p.{1,3}gina|seite|acc.s|acceso|expir|caducado|r.essayez|vuelva|versuchen|int.ntelo|pointer|core dumped|(\p{L}{2,12}(?: \p{L}{2,12})?)(?: \1){4}|(\p{IsHan}{2,8})\2{2}"
+_CUE = r"[{}\[\]<>【@|%$]|__|‹unfilled›|x{3}|tbd|todo:|\?$|\?\?|0|nnn|could not|cannot|unable|error|err_|exception|fehler|erreur|错|出错|失败|拒绝|过期|失效|不存在|不可用|未找到|无法|维护|稍后|抱歉|权限|无权|请|浏览器|脚本|script|cookie|browser|navig|lorem|ipsum|(?:^| )(?:elit|velit|nisi|magna|sed|quis|amet|dolor|veniam|fugiat|mollit|aute|culpa)(?: |$)|asdf|qwer|uiop|zxcv|hjkl|jkl;|dfgh|aaaa|click|insert|here goes|replace|^add |^this is|^your |text|placeholder|platzhalter|hier steht|descri|示例|占位|补充|在此|found|forbidden|unauthori|denied|gone|gateway|unavailable|requests|oops|sorry|went wrong|available|session|sesi|sitzung|signed|permission|limit|sign in|traceback|file \"|warning|notice|uncaught|caused by|stack|segmentation|upstream|connection|origin took|server|failed|service|dienst|offline|maintenance|wartung|closed|patience|try again|retry|reload|start page|request id|zugriff|melden sie|page |p.{1,3}gina|seite|acc.s|acceso|expir|caducado|r.essayez|vuelva|versuchen|int.ntelo|pointer|core dumped|(\p{L}{2,12}(?: \p{L}{2,12})?)(?: \1){4}|(\p{IsHan}{2,8})\2{2}"
 
 
 def judged_messages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
