@@ -6,8 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read_table
+from .neighbours import nearest_neighbours
 from .residue import judged_messages, residue_documents, without_residue
 from .terms import term_frequencies
+from .vectors import usable_vectors
+
+
+def usable(spark: SparkSession, d: str) -> DataFrame:
+    return usable_vectors(read_table(spark, d, "specimen_vectors"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other specimens of every usable vector."""
+    return nearest_neighbours(usable(spark, d), k=5)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest_neighbours(usable(spark, d), k=5, least_cosine=0.90)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +46,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (
