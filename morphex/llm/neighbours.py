@@ -209,7 +209,7 @@ def _search_shard(k: int, dims: int, ef: int):
     return run
 
 
-def _copy_groups(rows: DataFrame, k: int) -> DataFrame | None:
+def copy_groups(rows: DataFrame, k: int) -> DataFrame | None:
     """(v, ids, n) of vectors with more than COPIES copies: their least k + 1 ids; None if there are none."""
     heavy = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES).select("h")
     heavy = materialise(heavy)  # at most rows / COPIES hashes
@@ -238,7 +238,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     if first is None:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
     dims = len(first.v)
-    copies = _copy_groups(rows, k)
+    copies = copy_groups(rows, k)
     indexed, copied = rows, None
     if copies is not None:
         copies = materialise(copies)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read_table
+from ..runtime import read_table, term
+from .clusters import assign_clusters, describe_clusters, isolated_groups
 from .neighbours import nearest_neighbours
 from .residue import judged_messages, residue_documents, without_residue
 from .terms import term_frequencies
@@ -26,6 +27,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return isolated_groups(usable(spark, d))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every similarity cluster with its size and its most typical members."""
+    return describe_clusters(assign_clusters(usable(spark, d)))
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """The assigned cluster values found in every similarity cluster, with the number of specimens."""
+    assigned = assign_clusters(usable(spark, d))
+    values = read_table(spark, d, "assignments").select("id", term("cluster").alias("value")).where(F.col("id").isNotNull() & F.col("value").isNotNull()).distinct()
+    return assigned.join(values, "id").groupBy("cluster", "value").agg(F.count(F.lit(1)).alias("n_specimens"))
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_frequencies([(read_table(spark, d, "figs"), "label", "image", "sample", "label"), (read_table(spark, d, "assignments"), "cluster", "id", "sample", "cluster")])
 
@@ -46,7 +63,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (
