@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read_table, term
+from ..runtime import materialise, read_table, term
 from .clusters import assign_clusters, describe_clusters, isolated_groups
+from .digest import certify, digest_percentiles, digests, merge_digests
 from .neighbours import nearest_neighbours
 from .residue import judged_messages, residue_documents, without_residue
 from .terms import term_frequencies
@@ -27,6 +28,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def labelled_values(spark: SparkSession, d: str) -> DataFrame:
+    """(label, day, dim_0): one row for every usable vector and every label its image has."""
+    vectors = usable(spark, d).select("id", F.to_date("at").alias("day"), F.col("v")[0].alias("dim_0"))
+    labels = read_table(spark, d, "figs").select(F.col("image").alias("id"), term("label").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull()).distinct()
+    return vectors.join(labels, "id").select("label", "day", "dim_0")
+
+
+def _certified(rows: DataFrame, key: str) -> DataFrame:
+    rows = materialise(rows)
+    found = digest_percentiles(digests(rows, [key], "dim_0"), [key], PERCENTILES)
+    return certify(rows, [key], "dim_0", found)
+
+
+def p3_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _certified(labelled_values(spark, d), "label")
+
+
+def p3_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _certified(labelled_values(spark, d), "day")
+
+
+def p3_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each label from its daily digests, as if each day had been digested on its own."""
+    rows = materialise(labelled_values(spark, d))
+    daily = digests(rows, ["label", "day"], "dim_0")
+    return certify(rows, ["label"], "dim_0", digest_percentiles(merge_digests(daily.drop("day"), ["label"]), ["label"], PERCENTILES))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return isolated_groups(usable(spark, d))
 
@@ -63,7 +95,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (
