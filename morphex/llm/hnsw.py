@@ -21,6 +21,9 @@ CANDIDATES = 24
 LINKS = 16
 REVERSE = 8
 WIDTH = 4  # vectors expanded at one step of a search
+#: A search follows what lies less than SLACK below the similarity wanted; its first steps are always taken.
+SLACK = 0.15
+FIRST_STEPS = 2
 BLOCK_FLOATS = 6_000_000
 
 
@@ -94,14 +97,19 @@ class Graph:
     links: list[np.ndarray]
     below: list[np.ndarray]
 
-    def search(self, queries: np.ndarray, ef: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """(indices, similarities), best first, of about the ``ef`` most similar rows of each unit query; -1 fills up."""
-        parts = [self._search(queries[a : a + block], ef) for a in range(0, len(queries), block)]
+    def search(self, queries: np.ndarray, ef: int, wanted: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(indices, similarities), best first, of about the ``ef`` most similar rows of each unit query; -1 fills up.
+
+        ``wanted``: similarity below which a query's results are of no use; it stops when what it could follow next
+        lies more than SLACK below.
+        """
+        bound = np.full(len(queries), -2.0) if wanted is None else wanted
+        parts = [self._search(queries[a : a + block], ef, bound[a : a + block]) for a in range(0, len(queries), block)]
         if not parts:
             return np.zeros((0, ef), np.int32), np.zeros((0, ef), np.float32)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, ef: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         layers = [np.arange(len(self.x), dtype=np.int64)]
         for places in self.below:
             layers.append(layers[-1][places])
@@ -118,7 +126,7 @@ class Graph:
             return i, v
         for layer in range(len(self.below) - 1, -1, -1):
             at = self.below[layer][at]
-            i, v = _follow(self.x, layers[layer] if layer else None, self.links[layer], q, at, ef if layer == 0 else 8)
+            i, v = _follow(self.x, layers[layer] if layer else None, self.links[layer], q, at, ef if layer == 0 else 8, wanted)
             at = np.where(i[:, :8] >= 0, i[:, :8], i[:, :1])
         return i, v
 
@@ -128,7 +136,7 @@ _DONE = 1 << 31
 _FREE = (2 * _ONE + 2) << 32 | _DONE
 
 
-def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search in one layer from the places ``start`` (queries, seeds), all queries together.
 
     A pool entry is one integer: distance in the upper 32 bits, then a bit that says its links were followed, then the
@@ -137,6 +145,8 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
     m, n = len(q), len(links)
     seen = np.zeros(m * n, bool)
     pool = np.full((m, ef), _FREE, np.int64)
+    limit = (_ONE - np.floor(np.clip(wanted - SLACK, -1, 1) * _ONE).astype(np.int64)) << 32 | (_DONE - 1)
+    step = 0
     owner, place = np.repeat(np.arange(m, dtype=np.int64), start.shape[1]), start.ravel().astype(np.int64)
     while len(owner):
         pair = (owner * n + place)[place >= 0]
@@ -157,6 +167,9 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
         merged = merged[:, :ef]
         open_ = (merged & _DONE) == 0
         pick = open_ & (np.cumsum(open_, axis=1) <= WIDTH)
+        step += 1
+        if step > FIRST_STEPS:
+            pick &= merged <= limit[touched][:, None]
         r, c = np.nonzero(pick)
         chosen = merged[r, c] & (_DONE - 1)
         merged[r, c] |= _DONE

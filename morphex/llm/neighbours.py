@@ -195,7 +195,7 @@ def _search_shard(k: int, dims: int, ef: int):
             return _pairs_table(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         graph, raw, ids, kth = _load(index.to_pylist()[0], dims)
         q, q_ids, q_kth = matrix(queries.column("v")), queries.column("row_id").to_numpy(), queries.column("kth").to_numpy()
-        found, sim = graph.search(unit(q).astype(np.float32), ef)
+        found, sim = graph.search(unit(q).astype(np.float32), ef, q_kth)
         near = found >= 0
         slack = 1e-5
         better = near & (sim >= q_kth[:, None] - slack)
