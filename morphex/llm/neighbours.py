@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, release
 from . import hnsw
 from .vectors import matrix, unit
 
@@ -233,6 +233,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     """
     spark = vectors.sparkSession
     rows = materialise(vectors.select("id", "v").withColumn("row_id", F.monotonically_increasing_id()))
+    del vectors
+    release(spark)
     total = rows.count()
     first = rows.select("v").first()
     if first is None:
@@ -264,15 +266,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     placed = routed.withColumn("shard", shard_of(F.col("cells")[0], part_of(F.col("cells")[0])))
     placed = placed.select("shard", "row_id", "v", F.filter(targets, lambda t: t != F.col("shard")).alias("targets"))
     index = materialise(placed.groupBy("shard").applyInArrow(_index_shard(k), _SHARD_SCHEMA))
+    del placed, routed, indexed
+    release(spark)
 
     pairs = index.select("row_ids", "near", "cosine").mapInArrow(_own_results(k, dims), _PAIR_SCHEMA)
     if probes > 1 or max(sizes.values()) > SHARD_ROWS:
         queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims), "shard long, row_id long, v array<float>, kth double")
         found = index.select("shard", "rows", "row_ids", "kth", "links", "below").groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA)
-        pairs = pairs.unionByName(found.distinct())
+        pairs = pairs.unionByName(found)
     if copied is not None:
         pairs = pairs.join(copied_ids.withColumnRenamed("row_id", "a"), "a", "left_anti")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k)
+    # a pair found from both sides has one rank and is kept once, still within the partitioning by a
+    ranked = pairs.withColumn("rank", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k).dropDuplicates(["a", "b"])
     if least_cosine is not None:
         ranked = ranked.where(F.col("cosine") >= least_cosine)
     names = rows.select("row_id", "id")
