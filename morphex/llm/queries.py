@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, read_table, term
 from .clusters import assign_clusters, describe_clusters, isolated_groups
 from .digest import certify, digest_percentiles, digests, merge_digests
+from .mixing import mix
 from .neighbours import nearest_neighbours
+from .packing import pack, pack_report
 from .residue import judged_messages, residue_documents, without_residue
 from .terms import term_frequencies
+from .tokens import with_tokens
 from .vectors import usable_vectors
 
 
@@ -83,6 +88,35 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_terms(spark, d).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document."""
+    return with_tokens(read_table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    limits = read_table(spark, d, "pack_limits").select("pack_name", "capacity_tokens").distinct().limit(1001).collect()
+    counts = materialise(token_counts(spark, d))
+    return [(r.pack_name, r.capacity_tokens, pack(counts, r.capacity_tokens)) for r in sorted(limits)]
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of each capacity."""
+    return reduce(DataFrame.unionByName, (p.select(F.lit(name).alias("pack_name"), "*") for name, _, p in _packed(spark, d)))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, (pack_report(p, capacity).select(F.lit(name).alias("pack_name"), "*") for name, capacity, p in _packed(spark, d)))
+
+
+def p8_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix, in the order they are to be read."""
+    return mix(token_counts(spark, d), read_table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(token_counts(spark, d), read_table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(read_table(spark, d, "documents")).select("doc_id")
 
@@ -95,7 +129,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p7_packed": p7_packed, "p7_report": p7_report, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (
