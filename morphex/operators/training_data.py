@@ -1,0 +1,93 @@
+"""The data side of training: class weights, schedules, mask rectangles, diagnostics."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+BETA = 0.99
+WEIGHT_CAP = 3.0
+
+
+def class_weights(labels: DataFrame, beta: float = BETA, cap: float = WEIGHT_CAP) -> DataFrame:
+    """(label, n, weight): (1 - beta) / (1 - beta^n), scaled so that the mean over samples is 1, then capped."""
+    n = labels.where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    raw = n.withColumn("raw", (1 - F.lit(beta)) / (1 - F.pow(F.lit(beta), F.col("n"))))
+    mean = raw.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("label", "n", F.least(F.col("raw") / F.col("mean"), F.lit(cap)).alias("weight"))
+
+
+def deferred_ramp(epoch: Column, epochs: int, start: float = 0.5, length: float = 0.1) -> Column:
+    """0 until ``start`` of the epochs, then linear over ``length`` of them to 1."""
+    begin, span = start * epochs, max(length * epochs, 1e-12)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (epoch - begin) / span))
+
+
+def deferred_weights(weights: DataFrame, spark: SparkSession, epochs: int) -> DataFrame:
+    """(epoch, label, weight): 1 + ramp (w - 1), scaled to a sample mean of 1 in each epoch."""
+    steps = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"), deferred_ramp(F.col("id"), epochs).alias("ramp"))
+    rows = weights.crossJoin(F.broadcast(steps)).withColumn("w", 1 + F.col("ramp") * (F.col("weight") - 1))
+    mean = rows.groupBy("epoch").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
+    return rows.join(F.broadcast(mean), "epoch").select("epoch", "label", (F.col("w") / F.col("mean")).alias("weight"))
+
+
+def weighted_cross_entropy(rows: DataFrame) -> DataFrame:
+    """One row: sum w * loss / sum w of (weight, loss)."""
+    return rows.agg((F.sum(F.col("weight") * F.col("loss")) / F.sum("weight")).alias("loss"))
+
+
+def cosine_schedule(spark: SparkSession, steps: int, base: float, least: float = 1e-6, warmup: int = 0) -> DataFrame:
+    """(step, value): linear to ``base`` over the warm-up, then half a cosine to ``least``."""
+    t = F.col("id").cast("double")
+    rest = max(1, steps - warmup)
+    value = F.when(F.col("id") < warmup, F.lit(base) * (t + 1) / max(1, warmup)).otherwise(F.lit(least) + F.lit((base - least) / 2) * (1 + F.cos(F.lit(math.pi) * (t - warmup) / rest)))
+    return spark.range(steps).select(F.col("id").alias("step"), value.alias("value"))
+
+
+def linear_ramp(spark: SparkSession, steps: int, start: float, end: float, length: int) -> DataFrame:
+    """(step, value): linear from ``start`` to ``end`` over ``length`` steps, then constant; teacher temperature, momentum."""
+    share = F.least(F.lit(1.0), F.col("id") / max(1, length))
+    return spark.range(steps).select(F.col("id").alias("step"), (F.lit(start) + share * F.lit(end - start)).alias("value"))
+
+
+def mask_rectangles(spark: SparkSession, height: int, width: int, low: int, high: int, least_aspect: float = 0.3) -> DataFrame:
+    """(top, left, h, w): every rectangle of patches in the grid with an area in [low, high] and a permitted aspect."""
+    h = spark.range(1, height + 1).select(F.col("id").cast("int").alias("h"))
+    w = spark.range(1, width + 1).select(F.col("id").cast("int").alias("w"))
+    shapes = h.crossJoin(F.broadcast(w)).where((F.col("h") * F.col("w")).between(low, high) & ((F.col("h") / F.col("w")).between(least_aspect, 1 / least_aspect)))
+    return shapes.select(F.explode(F.sequence(F.lit(0), F.lit(height) - F.col("h"))).alias("top"), "h", "w").select("top", F.explode(F.sequence(F.lit(0), F.lit(width) - F.col("w"))).alias("left"), "h", "w")
+
+
+def random_masks(batch: DataFrame, patches: int, masked: int, seed: int = 0) -> DataFrame:
+    """(id, masked patches): exactly ``masked`` patches per row, those of the least seeded hashes."""
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(patches - 1)), lambda p: F.struct(F.xxhash64(F.lit(seed), "id", p).alias("h"), p.alias("p"))))
+    return batch.select("id", F.array_sort(F.transform(F.slice(order, 1, masked), lambda x: x["p"])).alias("masked"))
+
+
+def centre_winners(rows: DataFrame) -> DataFrame:
+    """(label, sub_centre, n, share): how often each sub-centre of (sample, label, sub_centre, similarity) wins its sample."""
+    best = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("similarity"), "sub_centre"))
+    won = rows.withColumn("r", best).where(F.col("r") == 1).groupBy("label", "sub_centre").agg(F.count(F.lit(1)).alias("n"))
+    return won.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+
+
+def prototype_usage(assignments: DataFrame, prototypes: int) -> DataFrame:
+    """One row from (prototype, p): perplexity, entropy, share of active prototypes and the largest occupancy."""
+    mass = assignments.groupBy("prototype").agg(F.sum("p").alias("m"))
+    total = mass.agg(F.sum("m").alias("t"))
+    p = mass.crossJoin(F.broadcast(total)).select((F.col("m") / F.col("t")).alias("p")).where("p > 0")
+    return p.agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"), F.count(F.lit(1)).alias("k"), F.max("p").alias("max_occupancy")).select("entropy", F.exp("entropy").alias("perplexity"), (F.col("k") / prototypes).alias("active_ratio"), "max_occupancy")
+
+
+def supervised_contrastive(pairs: DataFrame, labels: DataFrame, temperature: float = 0.07) -> DataFrame:
+    """One row: the forward value of the supervised contrastive loss over a pair table of cosine distances."""
+    from .distances import symmetric
+
+    known = labels.select("id", "label")
+    both = symmetric(pairs).join(known.select(F.col("id").alias("i"), F.col("label").alias("a")), "i").join(known.select(F.col("id").alias("j"), F.col("label").alias("b")), "j")
+    x = both.select("i", ((1 - F.col("d")) / temperature).alias("s"), (F.col("a") == F.col("b")).alias("same"))
+    top = x.groupBy("i").agg(F.max("s").alias("top"))
+    per = x.join(top, "i").groupBy("i").agg((F.log(F.sum(F.exp(F.col("s") - F.col("top")))) + F.max("top")).alias("lse"), F.avg(F.when(F.col("same"), F.col("s"))).alias("pos"))
+    return per.where(F.col("pos").isNotNull()).agg(F.avg(F.col("lse") - F.col("pos")).alias("loss"))
