@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,10 @@ def release(spark: SparkSession) -> None:
 
     Spark does so when the driver's JVM collects garbage, which a large driver heap may put off until the disks are full.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the JVM learns of dropped Python references only after the first round
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
