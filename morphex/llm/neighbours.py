@@ -31,6 +31,8 @@ LEAST_CELLS, MOST_CELLS = 4, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
 ROUTE_RECALL = 0.96
 MOST_PROBES = 24
+#: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
+ROUNDS = 2
 #: Length of the candidate list of a search.
 EF = 32
 #: A vector with more copies than this is represented in the index by a few of them.
@@ -266,20 +268,25 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     placed = routed.withColumn("shard", shard_of(F.col("cells")[0], part_of(F.col("cells")[0])))
     placed = placed.select("shard", "row_id", "v", F.filter(targets, lambda t: t != F.col("shard")).alias("targets"))
     index = materialise(placed.groupBy("shard").applyInArrow(_index_shard(k), _SHARD_SCHEMA))
-    del placed, routed, indexed
+    names = materialise(rows.select("row_id", "id"))
+    del placed, routed, indexed, rows
     release(spark)
 
     pairs = index.select("row_ids", "near", "cosine").mapInArrow(_own_results(k, dims), _PAIR_SCHEMA)
     if probes > 1 or max(sizes.values()) > SHARD_ROWS:
-        queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims), "shard long, row_id long, v array<float>, kth double")
-        found = index.select("shard", "rows", "row_ids", "kth", "links", "below").groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA)
-        pairs = pairs.unionByName(found)
+        for turn in range(ROUNDS):
+            now = (F.shiftright("shard", 20) + F.col("shard") % most) % ROUNDS == turn  # cell and part number
+            queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims), "shard long, row_id long, v array<float>, kth double").where(now)
+            part = index.where(now).select("shard", "rows", "row_ids", "kth", "links", "below")
+            found = materialise(part.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
+            pairs = pairs.unionByName(found)
+            del queries, part, found
+            release(spark)
     if copied is not None:
         pairs = pairs.join(copied_ids.withColumnRenamed("row_id", "a"), "a", "left_anti")
     # a pair found from both sides has one rank and is kept once, still within the partitioning by a
     ranked = pairs.withColumn("rank", F.dense_rank().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("rank") <= k).dropDuplicates(["a", "b"])
     if least_cosine is not None:
         ranked = ranked.where(F.col("cosine") >= least_cosine)
-    names = rows.select("row_id", "id")
     named = ranked.join(names.select(F.col("row_id").alias("b"), F.col("id").alias("neighbour")), "b").join(names.select(F.col("row_id").alias("a"), "id"), "a").select("id", "neighbour", "cosine", "rank")
     return named if copied is None else named.unionByName(copied)
