@@ -201,7 +201,7 @@ def bin_summary(decisions: DataFrame) -> DataFrame:
 
 def counterfactuals(decisions: DataFrame) -> DataFrame:
     """One row: candidates that would pass if exactly one rule were dropped, before the caps."""
-    only = lambda *names: F.count_if((F.size("reasons") == 1) & F.col("reasons")[0].isin(*names))
+    only = lambda *names: F.count_if((F.size("reasons") == 1) & F.get("reasons", F.lit(0)).isin(*names))
     return decisions.agg(only("floor").alias("without_floor"), only("gap_eligible", "gap_undersupported", "no_runner_up").alias("without_gap"), only("not_mutual").alias("without_mutual"))
 
 

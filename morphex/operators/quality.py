@@ -31,17 +31,17 @@ def external_metrics(table: DataFrame) -> DataFrame:
     """
     a = table.groupBy("true").agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("k"))
     b = table.groupBy("pred").agg(F.sum("n").alias("b"), F.count(F.lit(1)).alias("k"), F.max("n").alias("top"))
-    total = table.agg(F.sum("n").cast("double").alias("N"))
+    total = table.agg(F.sum("n").cast("double").alias("_N"))
     cells = table.join(a.select("true", "a"), "true").join(b.select("pred", "b"), "pred").crossJoin(F.broadcast(total))
     inner = cells.agg(
-        F.sum(_pairs(F.col("n"))).alias("s"), F.sum(F.col("n") / F.col("N") * F.log(F.col("N") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"),
-        (F.sum(F.col("n") * F.col("n") / F.col("b")) / F.first("N")).alias("bp"), (F.sum(F.col("n") * F.col("n") / F.col("a")) / F.first("N")).alias("br"),
+        F.sum(_pairs(F.col("n"))).alias("s"), F.sum(F.col("n") / F.col("_N") * F.log(F.col("_N") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"),
+        (F.sum(F.col("n") * F.col("n") / F.col("b")) / F.first("_N")).alias("bp"), (F.sum(F.col("n") * F.col("n") / F.col("a")) / F.first("_N")).alias("br"),
     )
-    rows = a.crossJoin(F.broadcast(total)).agg(F.sum(_pairs(F.col("a"))).alias("sa"), _entropy(F.col("a"), F.col("N")).alias("ht"), F.count(F.lit(1)).alias("n_true"), F.avg("k").alias("splitting"))
-    columns = b.crossJoin(F.broadcast(total)).agg(F.sum(_pairs(F.col("b"))).alias("sb"), _entropy(F.col("b"), F.col("N")).alias("hp"), F.count(F.lit(1)).alias("n_pred"), F.avg("k").alias("lumping"), (F.sum("top") / F.first("N")).alias("purity"))
+    rows = a.crossJoin(F.broadcast(total)).agg(F.sum(_pairs(F.col("a"))).alias("sa"), _entropy(F.col("a"), F.col("_N")).alias("ht"), F.count(F.lit(1)).alias("n_true"), F.avg("k").alias("splitting"))
+    columns = b.crossJoin(F.broadcast(total)).agg(F.sum(_pairs(F.col("b"))).alias("sb"), _entropy(F.col("b"), F.col("_N")).alias("hp"), F.count(F.lit(1)).alias("n_pred"), F.avg("k").alias("lumping"), (F.sum("top") / F.first("_N")).alias("purity"))
     x = inner.crossJoin(rows).crossJoin(columns).crossJoin(total)
     tiny = 1e-15
-    expected = F.col("sa") * F.col("sb") / F.greatest(_pairs(F.col("N")), F.lit(1.0))
+    expected = F.col("sa") * F.col("sb") / F.greatest(_pairs(F.col("_N")), F.lit(1.0))
     middle = (F.col("sa") + F.col("sb")) / 2
     ari = F.when(F.abs(middle - expected) < 1e-12, 1.0).otherwise((F.col("s") - expected) / (middle - expected))
     hom = F.when(F.col("ht") < tiny, 1.0).otherwise(F.col("mi") / F.col("ht"))
@@ -50,9 +50,9 @@ def external_metrics(table: DataFrame) -> DataFrame:
     x = x.select("*", ari.alias("ARI"), nmi.alias("NMI"), hom.alias("homogeneity"), com.alias("completeness"))
     v = F.when(F.col("homogeneity") + F.col("completeness") == 0, 0.0).otherwise(2 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness")))
     f = 2 * F.col("bp") * F.col("br") / (F.col("bp") + F.col("br"))
-    known = lambda c: F.when(F.col("N") > 0, c)
+    known = lambda c: F.when(F.col("_N") > 0, c)
     return x.select(
-        known(F.col("NMI")).alias("NMI"), known(F.col("ARI")).alias("ARI"), known(F.col("homogeneity")).alias("homogeneity"), known(F.col("completeness")).alias("completeness"), known(v).alias("V_measure"), known(v).alias("v_measure"),
+        known(F.col("NMI")).alias("NMI"), known(F.col("ARI")).alias("ARI"), known(F.col("homogeneity")).alias("homogeneity"), known(F.col("completeness")).alias("completeness"), known(v).alias("V_measure"),
         F.col("bp").alias("BCubed_precision"), F.col("br").alias("BCubed_recall"), f.alias("BCubed_F"), f.alias("BCubed_fscore"), "purity", "splitting", "lumping",
         F.col("n_pred").alias("n_OTUs"), F.col("n_true").alias("n_true_species"), (F.col("n_pred") / F.greatest(F.lit(1), F.col("n_true"))).alias("OTU_species_ratio"),
     )
@@ -94,7 +94,7 @@ def adjusted_mutual_information(table: DataFrame, most_classes: int = 200_000) -
     mi = m.NMI * (ht + hp) / 2
     e = _expected_information(np.array(a), np.array(b))
     divisor = (ht + hp) / 2 - e
-    return (mi - e) / (divisor if abs(divisor) > np.finfo(float).eps else math.copysign(np.finfo(float).eps, divisor))
+    return float((mi - e) / (divisor if abs(divisor) > np.finfo(float).eps else math.copysign(np.finfo(float).eps, divisor)))
 
 
 def group_sums(rows: DataFrame, key: str, v: str = "v", unit: bool = True) -> DataFrame:

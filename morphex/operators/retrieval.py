@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .distances import symmetric
 
@@ -69,7 +70,7 @@ def with_folds(rows: DataFrame, splits: int = 5, seed: int = 42) -> DataFrame |
     folds = stratified_folds([r.label for r in listed], splits, seed)
     if folds is None:
         return None
-    return rows.sparkSession.createDataFrame([(r.id, r.label, int(f)) for r, f in zip(listed, folds)], rows.select("id", "label").schema.add("fold", "int"))
+    return rows.sparkSession.createDataFrame([(r.id, r.label, int(f)) for r, f in zip(listed, folds)], rows.select("id", "label").schema.add("fold", T.IntegerType()))
 
 
 def knn_accuracy(pairs: DataFrame, folded: DataFrame, ks: list[int]) -> DataFrame:

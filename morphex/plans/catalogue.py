@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import core_problems
+from . import core_problems, vector_queries
 
-MODULES = [core_problems]
+MODULES = [core_problems, vector_queries]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
-FLAGSHIP = "p5_profile"
+FLAGSHIP = "ds_within_label"
