@@ -31,6 +31,9 @@ LEAST_CELLS, MOST_CELLS = 4, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
 ROUTE_RECALL = 0.96
 MOST_PROBES = 24
+#: Queries that one task answers, and how many of them at once.
+QUERY_ROWS = 262_144
+SEARCH_ROWS = 32_768
 #: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
 ROUNDS = 2
 #: Length of the candidate list of a search.
@@ -196,21 +199,36 @@ def _search_shard(k: int, dims: int, ef: int):
         if not index.num_rows or not queries.num_rows:
             return _pairs_table(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         graph, raw, ids, kth = _load(index.to_pylist()[0], dims)
-        q, q_ids, q_kth = matrix(queries.column("v")), queries.column("row_id").to_numpy(), queries.column("kth").to_numpy()
-        found, sim = graph.search(unit(q).astype(np.float32), ef, q_kth)
-        near = found >= 0
-        slack = 1e-5
-        better = near & (sim >= q_kth[:, None] - slack)
-        serves = near & (sim >= kth[np.maximum(found, 0)] - slack)
-        r, c = np.nonzero(better | serves)
-        j = found[r, c]
-        cosine = _exact(q, r, raw, j)
-        one, two = better[r, c] & _best_of(r, cosine, better[r, c], k), serves[r, c] & _best_of(j, cosine, serves[r, c], k)
-        return _pairs_table(np.concatenate([q_ids[r][one], ids[j][two]]), np.concatenate([ids[j][one], q_ids[r][two]]), np.concatenate([cosine[one], cosine[two]]))
+        parts = [_search_rows(graph, raw, ids, kth, queries.slice(a, SEARCH_ROWS), k, ef) for a in range(0, queries.num_rows, SEARCH_ROWS)]
+        a, b, cosine = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        best = _best_of(a, cosine, np.ones(len(a), bool), k)
+        return _pairs_table(a[best], b[best], cosine[best])
 
     return run
 
 
+def _search_rows(graph: hnsw.Graph, raw: np.ndarray, ids: np.ndarray, kth: np.ndarray, queries: pa.Table, k: int, ef: int) -> tuple[np.ndarray, ...]:
+    """(a, b, cosine): b is near a; a is a query that b improves, or a row of the shard that the query b improves."""
+    q, q_ids, q_kth = matrix(queries.column("v")), queries.column("row_id").to_numpy(), queries.column("kth").to_numpy()
+    found, sim = graph.search(unit(q).astype(np.float32), ef, q_kth)
+    near, slack = found >= 0, 1e-5
+    better = near & (sim >= q_kth[:, None] - slack)
+    serves = near & (sim >= kth[np.maximum(found, 0)] - slack)
+    r, c = np.nonzero(better | serves)
+    j = found[r, c]
+    cosine = _exact(q, r, raw, j)
+    one, two = better[r, c] & _best_of(r, cosine, better[r, c], k), serves[r, c] & _best_of(j, cosine, serves[r, c], k)
+    return np.concatenate([q_ids[r][one], ids[j][two]]), np.concatenate([ids[j][one], q_ids[r][two]]), np.concatenate([cosine[one], cosine[two]])
+
+
+def _target_counts(batches):
+    """(shard, n): queries to each shard, per batch."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            shard, n = np.unique(np.frombuffer(row["targets"], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], names=["shard", "n"])
+
+
 def copy_groups(rows: DataFrame, k: int) -> DataFrame | None:
     """(v, ids, n) of vectors with more than COPIES copies: their least k + 1 ids; None if there are none."""
     heavy = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES).select("h")
@@ -274,11 +292,16 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
 
     pairs = index.select("row_ids", "near", "cosine").mapInArrow(_own_results(k, dims), _PAIR_SCHEMA)
     if probes > 1 or max(sizes.values()) > SHARD_ROWS:
+        # a shard that most rows are searched in is searched by several tasks; at most one number a shard
+        asked = {r.shard: r.n for r in index.select("targets").mapInArrow(_target_counts, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        crowded = {x: -(-n // QUERY_ROWS) for x, n in asked.items() if n > QUERY_ROWS}
+        tasks = F.coalesce(F.create_map(*(F.lit(v) for x, n in crowded.items() for v in (x, n)))[F.col("shard")], F.lit(1)) if crowded else F.lit(1)
         for turn in range(ROUNDS):
             now = (F.shiftright("shard", 20) + F.col("shard") % most) % ROUNDS == turn  # cell and part number
             queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims), "shard long, row_id long, v array<float>, kth double").where(now)
-            part = index.where(now).select("shard", "rows", "row_ids", "kth", "links", "below")
-            found = materialise(part.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
+            queries = queries.withColumn("task", F.pmod(F.xxhash64("row_id"), tasks))
+            part = index.where(now).select("shard", "rows", "row_ids", "kth", "links", "below", F.explode(F.sequence(F.lit(0).cast("long"), tasks.cast("long") - 1)).alias("task"))
+            found = materialise(part.groupBy("shard", "task").cogroup(queries.groupBy("shard", "task")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
             pairs = pairs.unionByName(found)
             del queries, part, found
             release(spark)

@@ -110,11 +110,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_chosen(spark: SparkSession, d: str) -> DataFrame:
     """The documents of each mix, in the order they are to be read."""
-    return mix(token_counts(spark, d), read_table(spark, d, "mix_targets"))[0]
+    return mix(materialise(token_counts(spark, d)), read_table(spark, d, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix(token_counts(spark, d), read_table(spark, d, "mix_targets"))[1]
+    return mix(materialise(token_counts(spark, d)), read_table(spark, d, "mix_targets"))[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
