@@ -24,7 +24,7 @@ from .vectors import matrix, unit
 
 #: Rows that the centroids and the number of searched cells are fitted on; every row is indexed and searched.
 SAMPLE_ROWS = 20_000
-#: Wanted rows of a cell, and the most rows of a shard.
+#: Wanted rows of a cell, and the most rows of a shard (two bytes hold a place in it).
 CELL_ROWS = 32_768
 SHARD_ROWS = 49_152
 LEAST_CELLS, MOST_CELLS = 4, 4096
@@ -35,7 +35,7 @@ MOST_PROBES = 24
 QUERY_ROWS = 262_144
 SEARCH_ROWS = 32_768
 #: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
-ROUNDS = 2
+ROUNDS = 3
 #: Length of the candidate list of a search.
 EF = 32
 #: A vector with more copies than this is represented in the index by a few of them.
@@ -132,9 +132,9 @@ def _index_shard(k: int):
                 "rows": [raw.tobytes()],
                 "row_ids": [ids.tobytes()],
                 "kth": [kth.tobytes()],
-                "links": pa.array([[x.astype(np.int32).tobytes() for x in graph.links]], pa.list_(pa.binary())),
+                "links": pa.array([[x.astype(np.uint16).tobytes() for x in graph.links]], pa.list_(pa.binary())),  # -1 becomes 65535
                 "below": pa.array([[x.astype(np.int64).tobytes() for x in graph.below]], pa.list_(pa.binary())),
-                "near": [np.take_along_axis(near, best, axis=1).astype(np.int32).tobytes()],
+                "near": [np.take_along_axis(near, best, axis=1).astype(np.uint16).tobytes()],
                 "cosine": [np.take_along_axis(cosine, best, axis=1).tobytes()],
                 "target_ends": [np.cumsum(targets.value_lengths().to_numpy()).astype(np.int64).tobytes()],
                 "targets": [targets.flatten().to_numpy().astype(np.int64).tobytes()],
@@ -144,9 +144,15 @@ def _index_shard(k: int):
     return run
 
 
+def _links(stored: bytes) -> np.ndarray:
+    x = np.frombuffer(stored, np.uint16).astype(np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE)
+    x[x == 65_535] = -1
+    return x
+
+
 def _load(row: dict, dims: int) -> tuple[hnsw.Graph, np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(row["rows"], np.float32).reshape(-1, dims)
-    graph = hnsw.Graph(unit(raw).astype(np.float32), [np.frombuffer(x, np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
+    graph = hnsw.Graph(unit(raw).astype(np.float32), [_links(x) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
     return graph, raw, np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["kth"], np.float64)
 
 
@@ -157,9 +163,9 @@ def _own_results(k: int, dims: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["row_ids"], np.int64)
-                near = np.frombuffer(row["near"], np.int32).reshape(len(ids), -1)
+                near = np.frombuffer(row["near"], np.uint16).astype(np.int64).reshape(len(ids), -1)
                 a, b = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
-                keep = b >= 0
+                keep = b < 65_535
                 yield from _pairs_table(ids[a[keep]], ids[b[keep]], np.frombuffer(row["cosine"], np.float64)[keep]).to_batches(max_chunksize=50_000)
 
     return run

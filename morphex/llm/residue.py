@@ -40,7 +40,7 @@ PLACEHOLDERS = {
     "single_brace": rf"(?<![\p{{IsLatin}}\p{{N}}])\{{(?!otu_?0)(?:{_NAME}|0)\}}",
     "asks": rf"[\[<【«‹]\s*{_ASK}(?![\p{{Ll}}])[^\[\]<>【】]{{0,90}}[\]>】»›]",
     "mark": r"‹unfilled›",
-    "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,}|n{3,}|tbd)(?![\p{IsLatin}\p{N}])|todo:)|\?{2,}\.\?{2,}|\?{4,}",
+    "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,12}|n{3,8}|tbd)(?![\p{IsLatin}\p{N}])|todo:)|\?{2,}\.\?{2,}|\?{4,}",
 }
 
 #: Words of a sentence that speaks of a placeholder instead of holding one.
