@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,10 +137,6 @@ def pool_hash(rows: DataFrame, ref: str, bound: int = 1_000_000) -> DataFrame:
 
 def feature_hash(ref: Column, v: Column, domain: str = "features/1") -> Column:
     """sha256 over a domain tag, the reference, the length and the little-endian float32 bytes of the vector."""
-    import hashlib
-
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(refs: pd.Series, vectors: pd.Series) -> pd.Series:
@@ -166,7 +165,6 @@ def quantile_triple(value: Column) -> Column:
 
 def canonical_reference(ref: Column, root: str = "") -> Column:
     """Lexically normal POSIX reference relative to ``root``; null if it leaves the root."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(refs: pd.Series) -> pd.Series:
@@ -188,8 +186,6 @@ def canonical_reference(ref: Column, root: str = "") -> Column:
 
 def edge_median(pixels: Column, fallback: tuple[int, int, int] = (124, 116, 104)) -> Column:
     """Median colour of the four borders of an image (array of rows of [r, g, b]); ``fallback`` for an empty one."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def run(images: pd.Series) -> pd.Series:

@@ -68,7 +68,7 @@ def random_masks(batch: DataFrame, patches: int, masked: int, seed: int = 0) ->
 
 def centre_winners(rows: DataFrame) -> DataFrame:
     """(label, sub_centre, n, share): how often each sub-centre of (sample, label, sub_centre, similarity) wins its sample."""
-    best = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("similarity"), "sub_centre"))
+    best = F.row_number().over(Window.partitionBy("sample").orderBy(F.desc("similarity"), "sub_centre", "label"))
     won = rows.withColumn("r", best).where(F.col("r") == 1).groupBy("label", "sub_centre").agg(F.count(F.lit(1)).alias("n"))
     return won.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
 

@@ -385,7 +385,7 @@ SQL = {
     "tr_ramp": "SELECT s AS step, round(0.04::DOUBLE + least(1, s / 30) * 0.03::DOUBLE, 9) AS value FROM range(200) r(s)",
     "tr_rectangles": 'SELECT t::INT AS top, l::INT AS "left", h::INT AS h, w::INT AS w FROM range(1, 15) a(h), range(1, 15) b(w), range(14) c(t), range(14) d(l) WHERE h * w BETWEEN 4 AND 40 AND h / w BETWEEN 0.3::DOUBLE AND 1 / 0.3::DOUBLE AND t + h <= 14 AND l + w <= 14',
     "tr_usage": f"WITH c AS (SELECT {_TERM.format('cluster')} AS k, count(*) AS n FROM assignments GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM c WHERE k IS NOT NULL) SELECT round(-sum(p * ln(p)), 6) AS entropy, round(exp(-sum(p * ln(p))), 6) AS perplexity, round(count(*) / 8192, 6) AS active_ratio, round(max(p), 6) AS max_occupancy FROM p",
-    "tr_winners": "WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1), c AS (SELECT l_returnflag AS label, l_linenumber AS sub_centre, count(*) AS n FROM b GROUP BY 1, 2) SELECT label, sub_centre, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c",
+    "tr_winners": "WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_returnflag) AS r FROM lineitem) WHERE r = 1), c AS (SELECT l_returnflag AS label, l_linenumber AS sub_centre, count(*) AS n FROM b GROUP BY 1, 2) SELECT label, sub_centre, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c",
     "tr_contrastive": """WITH e AS (SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda y: y / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS u FROM embeddings),
 s AS (SELECT a.id, list_dot_product(a.u, b.u) / 0.07::DOUBLE AS s, a.label = b.label AS same FROM e a JOIN e b ON a.id <> b.id), g AS (SELECT id, ln(sum(exp(s))) AS lse, avg(s) FILTER (same) AS pos FROM s GROUP BY 1) SELECT round(avg(lse - pos), 6) AS loss FROM g WHERE pos IS NOT NULL""",
     "t_phylogenetic": f"WITH {_TREE_SQL}, c AS (SELECT user_id::VARCHAR AS sample, event_type AS tip, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT * FROM c WHERE tip IN (SELECT tip FROM nodes)), t AS (SELECT sample, sum(n) AS tot, count(*) AS richness FROM s GROUP BY 1), b AS (SELECT sample, node, any_value(length)::DOUBLE AS length, sum(n) AS k FROM s JOIN nodes USING (tip) GROUP BY 1, 2) SELECT sample, richness, round(sum(length), 6) AS faith_pd, round(sum(length * k / tot), 6) AS weighted_rooted, round(sum(length * 2 * least(k / tot, 1 - k / tot)), 6) + 0.0 AS weighted_unrooted, round(sum(length) / richness, 6) AS pd_richness_norm FROM b JOIN t USING (sample) GROUP BY sample, richness",

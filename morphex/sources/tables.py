@@ -32,9 +32,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
 def read_rectangular(spark: SparkSession, path: str, delim: str = ",") -> tuple[DataFrame, DataFrame]:
     """(rows, ragged): records with as many fields as the header, and the raw text of the others. Blank lines are skipped."""
     names = header_of(spark, path, delim)
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("header", True).option("sep", delim).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull()).select("_corrupt", *names)
+    first = spark.read.text(path).limit(1).first().value
+    lines = spark.read.text(path).where(~is_blank("value") & (F.col("value") != first))
+    schema = ", ".join(f"c{i} string" for i in range(len(names))) + ", _raw string"
+    parsed = F.from_csv("value", schema, {"sep": delim, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"})
+    rows = lines.select("value", parsed.alias("r"))
+    good = rows.where(F.col("r._raw").isNull()).select(*(F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)))
+    return good, rows.where(F.col("r._raw").isNotNull()).select(F.col("value").alias("raw"))
 
 
 def vectors_from_wide(df: DataFrame, prefix: str = "dim_") -> DataFrame:

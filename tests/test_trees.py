@@ -119,7 +119,7 @@ def test_monophyly(spark):
 
 
 def test_support_is_a_percentage(spark):
-    x = np.vstack([np.random.default_rng(1).normal(c, 0.05, (3, 16)) for c in (np.r_[1, [0] * 15], np.r_[[0] * 15, 1])])
+    x = np.vstack([np.random.default_rng(1).normal(c, 0.05, (3, 16)) for c in (np.r_[[1] * 8, [0] * 8], np.r_[[0] * 8, [1] * 8])])
     rows = {tuple(r.clade): r.support for r in T.upgma_support(spark, x, 20).collect()}
     assert rows[0, 1, 2] == 100.0 and all(0 <= v <= 100 for v in rows.values())
     nj = T.neighbour_joining_support(spark, x, [f"t{i}" for i in range(6)], 20).collect()
