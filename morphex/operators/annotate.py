@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import term
+from .ranks import with_positions
 
 
 def canonical_corrections(rows: DataFrame) -> DataFrame:
@@ -62,10 +63,12 @@ def annotation_summary(assignments: DataFrame, corrections: DataFrame, order: st
 def rename_clusters(assignments: DataFrame, prefix: str = "OTU", member: str = "id") -> DataFrame:
     """``assignments`` + ``name``: prefix_1, prefix_2, ... by falling size, ties by the least member.
 
-    Sizes and least members are one row a cluster; only those are ranked, and rows get their name by a join.
+    Sizes and least members are one row a cluster; only those are ranked, by range partitions, and rows get their name by
+    a join.
     """
-    sizes = assignments.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"), F.min(member).alias("_first"))
-    named = sizes.withColumn("name", F.concat(F.lit(f"{prefix}_"), F.row_number().over(Window.orderBy(F.desc("_n"), F.asc_nulls_last("_first"), "cluster")).cast("string")))
+    sizes = assignments.where(F.col("cluster").isNotNull()).groupBy("cluster").agg((-F.count(F.lit(1))).alias("_n"), F.min(member).alias("_first"))
+    ranked = with_positions(sizes.withColumn("_none", F.col("_first").isNull()), [], ["_n", "_none", "_first", "cluster"])
+    named = ranked.withColumn("name", F.concat(F.lit(f"{prefix}_"), (F.col("position") + 1).cast("string")))
     return assignments.join(named.select("cluster", "name"), "cluster", "left")
 
 
