@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import with_positions
+from ..operators.ranks import with_positions
 
 #: Most blocks of a mix, and the least tokens of a block.
 MOST_BLOCKS = 20_000

@@ -5,9 +5,10 @@ import pyarrow as pa
 import pytest
 
 from morphex.llm import mixing as M
-from morphex.llm import ranks, terms, tokens
+from morphex.llm import terms, tokens
 from morphex.llm.packing import Plan, pack, pack_report
 from morphex.llm.residue import residue_documents, without_residue
+from morphex.operators import ranks
 
 
 def test_terms_against_counting(spark):
