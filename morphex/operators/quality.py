@@ -98,11 +98,13 @@ def adjusted_mutual_information(table: DataFrame, most_classes: int = 200_000) -
 
 
 def group_sums(rows: DataFrame, key: str, v: str = "v", unit: bool = True) -> DataFrame:
-    """(key, n, total array): element-wise sum of the (unit) vectors of each group. Combines map-side by position."""
-    x = unit_vector(v) if unit else doubles(v)
-    long = rows.where(F.col(key).isNotNull()).select(key, F.posexplode(x).alias("at", "x"))
-    by = long.groupBy(key, "at").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    return by.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("total"))
+    """(key, n, total array): element-wise sum of the (unit) vectors of each group, one partial sum per task and group shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = array_to_vector(unit_vector(v) if unit else doubles(v))
+    sums = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(x).alias("s"))
+    return sums.select(key, "n", vector_to_array("s").alias("total"))
 
 
 def centroids(rows: DataFrame, key: str, v: str = "v") -> DataFrame:

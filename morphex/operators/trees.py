@@ -11,9 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranks import with_positions
+
 #: Rows of a cohort that one task may hold as a full matrix (n^2 * 8 bytes: 3.2 GB).
 MOST_TIPS = 20_000
 
@@ -88,10 +91,11 @@ def average_linkage(matrix: np.ndarray) -> np.ndarray:
 def merge_table(pairs: DataFrame, ids: list) -> DataFrame:
     """(step, a, b, height, size) of the average linkage of a pair table; node k < len(ids) is ids[k]. One task."""
     check_tips(len(ids))
-    n, place = len(ids), {x: k for k, x in enumerate(ids)}
+    n = len(ids)
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = (np.array([place[x] for x in table.column(c).to_pylist()], int) for c in ("i", "j"))
+        known = pa.array(ids, table.schema.field("i").type)
+        i, j = (pc.index_in(table.column(c), value_set=known).to_numpy().astype(np.int64) for c in ("i", "j"))
         z = average_linkage(square(n, i, j, table.column("d").to_numpy()))
         return pa.table([np.arange(len(z)), z[:, 0].astype(np.int64), z[:, 1].astype(np.int64), z[:, 2], z[:, 3].astype(np.int64)], names=["step", "a", "b", "height", "size"])
 
@@ -527,11 +531,11 @@ def diversity_from_vectors(assignments: DataFrame, centroids: DataFrame) -> Data
 
 
 def contiguous_runs(rows: DataFrame, order: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, value, first, last, n): maximal runs of equal values in ``order`` (gaps and islands)."""
-    from pyspark.sql import Window
+    """(by, value, first, last, n): maximal runs of equal values in ``order``, which must be unique within ``by``.
 
+    Gaps and islands over two positions, both from range partitions, so that one long sequence spreads over many tasks.
+    """
     by = by or []
-    w = Window.partitionBy(*by).orderBy(order)
-    v = Window.partitionBy(*by, value).orderBy(order)
-    island = rows.withColumn("_g", F.row_number().over(w) - F.row_number().over(v))
-    return island.groupBy(*by, value, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
+    placed = with_positions(rows.select(*by, value, order), by, [order]).withColumnRenamed("position", "_all")
+    placed = with_positions(placed, [*by, value], [order]).withColumn("_g", F.col("_all") - F.col("position"))
+    return placed.groupBy(*by, value, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
