@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, release
@@ -181,15 +181,26 @@ def _best_of(group: np.ndarray, value: np.ndarray, of: np.ndarray, k: int) -> np
     return out
 
 
-def _queries(dims: int):
-    """(shard, row_id, v, kth): the rows of a shard as queries to the other shards they are to be searched in."""
+#: Parts of a cell that a shard number has room for.
+_PARTS = 1 << 20
+
+
+def _turn(shard):
+    """Turn in which a shard is searched, of a column as of an array: cell and part number by ROUNDS."""
+    cell = F.shiftright(shard, 20) if isinstance(shard, Column) else shard >> 20
+    return (cell + shard % _PARTS) % ROUNDS
+
+
+def _queries(dims: int, turn: int):
+    """(shard, row_id, v, kth): the rows of a shard as queries to the other shards that they are searched in and that are in turn."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 raw, ids, kth = np.frombuffer(row["rows"], np.float32).reshape(-1, dims), np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["kth"], np.float64)
                 ends, targets = np.frombuffer(row["target_ends"], np.int64), np.frombuffer(row["targets"], np.int64)
-                of = np.searchsorted(ends, np.arange(len(targets)), side="right")
+                due = np.flatnonzero(_turn(targets) == turn)
+                of, targets = np.searchsorted(ends, due, side="right"), targets[due]
                 for a in range(0, len(targets), 20_000):
                     r = of[a : a + 20_000]
                     v = pa.ListArray.from_arrays(pa.array(np.arange(0, len(r) * dims + 1, dims, dtype=np.int32)), pa.array(raw[r].ravel()))
@@ -285,9 +296,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     # counts of cells decide into how many shards each is split; at most MOST_CELLS numbers
     sizes = {r.cell: r.n for r in routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, -(-n // SHARD_ROWS))))
-    most = 1 << 20
     part_of = lambda cell: F.pmod(F.xxhash64("row_id"), F.coalesce(parts[cell], F.lit(1)).cast("long"))
-    shard_of = lambda cell, part: cell.cast("long") * most + part
+    shard_of = lambda cell, part: cell.cast("long") * _PARTS + part
     targets = F.flatten(F.transform("cells", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(parts[c], F.lit(1)).cast("long") - 1), lambda p: shard_of(c, p))))
     placed = routed.withColumn("shard", shard_of(F.col("cells")[0], part_of(F.col("cells")[0])))
     placed = placed.select("shard", "row_id", "v", F.filter(targets, lambda t: t != F.col("shard")).alias("targets"))
@@ -303,8 +313,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
         crowded = {x: -(-n // QUERY_ROWS) for x, n in asked.items() if n > QUERY_ROWS}
         tasks = F.coalesce(F.create_map(*(F.lit(v) for x, n in crowded.items() for v in (x, n)))[F.col("shard")], F.lit(1)) if crowded else F.lit(1)
         for turn in range(ROUNDS):
-            now = (F.shiftright("shard", 20) + F.col("shard") % most) % ROUNDS == turn  # cell and part number
-            queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims), "shard long, row_id long, v array<float>, kth double").where(now)
+            now = _turn(F.col("shard")) == turn
+            queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims, turn), "shard long, row_id long, v array<float>, kth double")
             queries = queries.withColumn("task", F.pmod(F.xxhash64("row_id"), tasks))
             part = index.where(now).select("shard", "rows", "row_ids", "kth", "links", "below", F.explode(F.sequence(F.lit(0).cast("long"), tasks.cast("long") - 1)).alias("task"))
             found = materialise(part.groupBy("shard", "task").cogroup(queries.groupBy("shard", "task")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
