@@ -9,6 +9,7 @@ different records it saw. No pair lies in two tasks, so the sums of these partia
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,13 @@ def _pairs(df: DataFrame, field: str, image: str, sample: str, name: str) -> Dat
     termed = rows.where(F.col("term").isNotNull())
     images = termed.select("field_name", F.lit("image").alias("kind"), "term", F.col("image").alias("record"), F.lit(1).cast("long").alias("weight"))
     samples = termed.groupBy("field_name", F.lit("sample").alias("kind"), "term", F.col("sample").alias("record")).agg(F.count(F.lit(1)).alias("weight"))
-    everything = rows.where(F.col("sample").isNotNull()).groupBy("field_name", F.lit("total").alias("kind"), F.lit("").alias("term"), F.col("sample").alias("record")).agg(F.count(F.lit(1)).alias("weight"))
-    return images.unionByName(samples).unionByName(everything)
+    return images.unionByName(samples)
+
+
+def _sample_totals(tables: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
+    """(field_name, all_samples): distinct samples of each table; one row a table."""
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("field_name"), F.col(sample).alias("sample")).where(~is_blank("sample")) for df, _, _, sample, name in tables))
+    return rows.distinct().groupBy("field_name").agg(F.count(F.lit(1)).alias("all_samples"))
 
 
 def term_frequencies(tables: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
@@ -80,19 +86,14 @@ def term_frequencies(tables: list[tuple[DataFrame, str, str, str, str]]) -> Data
     of the table's distinct samples) or null; a term that is both is rare. Strings compare by code point. Empty
     tables give no rows; further columns aren't read.
     """
-    frames = [_pairs(*t) for t in tables]
-    pairs = frames[0]
-    for f in frames[1:]:
-        pairs = pairs.unionByName(f)
+    pairs = reduce(DataFrame.unionByName, (_pairs(*t) for t in tables))
     by = ["field_name", "kind", "term", "record"]
     ordered = pairs.repartitionByRange(*by).sortWithinPartitions(*by).select(*by, "weight")
     runs = ordered.mapInArrow(scan_runs, "field_name string, kind string, term string, rows long, records long")
     pick = lambda kind, what: F.sum(F.when(F.col("kind") == kind, F.col(what)))
     counted = runs.groupBy("field_name", "term").agg(
-        pick("image", "rows").alias("n_rows"), pick("image", "records").alias("n_images"), F.coalesce(pick("sample", "records"), F.lit(0)).alias("n_samples"), pick("total", "records").alias("all_samples")
+        pick("image", "rows").alias("n_rows"), pick("image", "records").alias("n_images"), F.coalesce(pick("sample", "records"), F.lit(0)).alias("n_samples")
     )
-    # one row per table holds its number of samples: a window over the field would gather all terms, a lookup doesn't
-    totals = counted.where(F.col("all_samples").isNotNull()).select("field_name", "all_samples")
-    terms = counted.where(F.col("n_rows").isNotNull()).drop("all_samples").join(F.broadcast(totals), "field_name", "left")
+    terms = counted.join(F.broadcast(_sample_totals(tables)), "field_name", "left")
     mark = F.when(F.col("n_images") < RARE_IMAGES, "rare").when(F.col("n_samples") > F.col("all_samples") * COMMON_SHARE, "common")
     return terms.select("field_name", "term", "n_rows", "n_images", "n_samples", mark.alias("mark"))
