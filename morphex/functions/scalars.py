@@ -201,6 +201,13 @@ def edge_median(pixels: Column, fallback: tuple[int, int, int] = (124, 116, 104)
     return run(pixels)
 
 
+def top_tokens(tokens: Column, k: int, prefix: int = 0) -> Column:
+    """The ``k`` token vectors of greatest norm after ``prefix`` special ones, end to end, greatest first; ties to the earlier token."""
+    rest = F.slice(tokens, prefix + 1, F.greatest(F.size(tokens) - prefix, F.lit(0)))
+    ranked = F.array_sort(F.transform(rest, lambda t, i: F.struct((-norm(t)).alias("n"), i.alias("i"), t.alias("t"))))
+    return F.flatten(F.transform(F.slice(ranked, 1, k), lambda x: x["t"]))
+
+
 def luma(r: Column, g: Column, b: Column, factor: float = 1.0) -> Column:
     return (0.299 * r + 0.587 * g + 0.114 * b) * factor
 

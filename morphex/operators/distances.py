@@ -174,6 +174,11 @@ def whitened(vectors: DataFrame, components: int = 256, least_variance: float =
     keep = np.argsort(-value)[: min(components, len(mean), n)]
     keep = keep[value[keep] > least_variance]
     basis = vector[:, keep] / np.sqrt(value[keep])
+    return _projected(vectors, mean, basis)
+
+
+def _projected(vectors: DataFrame, mean: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """(id, v): (v - mean) @ basis, where the rows lie."""
 
     def run(batches):
         for batch in batches:
@@ -185,6 +190,26 @@ def whitened(vectors: DataFrame, components: int = 256, least_variance: float =
     return vectors.select("id", "v").mapInArrow(run, T.StructType([vectors.schema["id"], T.StructField("v", T.ArrayType(T.DoubleType()))]))
 
 
+#: Components kept for a number of tokens per image; other numbers keep DEFAULT_COMPONENTS.
+TOKEN_COMPONENTS = {10: 256, 20: 512, 30: 1024}
+DEFAULT_COMPONENTS = 512
+
+
+def scaled_components(vectors: DataFrame, tokens: int) -> DataFrame:
+    """(id, v): dimensions scaled to mean 0 and population variance 1, projected on their principal components.
+
+    As many components as TOKEN_COMPONENTS says, at most rows - 1 and dims; under three rows the vectors are cut short instead.
+    """
+    mean, cov, n = covariance(vectors)
+    wanted = min(TOKEN_COMPONENTS.get(tokens, DEFAULT_COMPONENTS), len(mean))
+    if n < 3:
+        return vectors.select("id", F.slice("v", 1, wanted).alias("v"))
+    spread = np.sqrt(np.diag(cov) * (n - 1) / n)
+    spread[spread < 1e-12] = 1.0
+    value, vector = np.linalg.eigh(cov / np.outer(spread, spread))
+    return _projected(vectors, mean, vector[:, np.argsort(-value)[: min(wanted, n - 1)]] / spread[:, None])
+
+
 def distances_for_ids(vectors: DataFrame, ids: DataFrame, metric: str = "cosine", components: int | None = None, k: int | None = None, budget: int = PAIR_BUDGET) -> DataFrame:
     """The pair table of the rows named in ``ids`` (id), by the same steps as a whole run: whitening, distance, scaling."""
     rows = vectors.join(ids.select("id").distinct(), "id", "left_semi")

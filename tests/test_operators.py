@@ -76,6 +76,19 @@ def test_whitening_gives_unit_variance(spark, vectors):
     assert np.allclose(np.cov(y.T), np.eye(y.shape[1]), atol=1e-9) and np.allclose(y.mean(axis=0), 0, atol=1e-9)
 
 
+def test_scaled_components(spark, vectors):
+    x, df = vectors
+    y = np.array([r.v for r in D.scaled_components(df, 10).collect()])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert np.allclose(sorted(np.var(y, axis=0)), sorted(np.linalg.eigvalsh(np.cov(z.T, bias=True))), atol=1e-9)
+    assert len(D.scaled_components(df.limit(2), 10).first().v) == 8
+
+
+def test_top_tokens(spark):
+    df = spark.createDataFrame([([[9.0, 9.0], [1.0, 0.0], [3.0, 0.0], [0.0, 3.0]],), ([],), (None,)], "t array<array<double>>")
+    assert [r[0] for r in df.select(S.top_tokens(F.col("t"), 2, 1)).collect()] == [[3.0, 0.0, 0.0, 3.0], [], None]
+
+
 def test_histogram_counts_everything(spark, vectors):
     _, df = vectors
     p = D.pair_distances(df)
