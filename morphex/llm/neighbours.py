@@ -35,7 +35,7 @@ MOST_PROBES = 24
 QUERY_ROWS = 262_144
 SEARCH_ROWS = 32_768
 #: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
-ROUNDS = 3
+ROUNDS = 2
 #: Length of the candidate list of a search.
 EF = 32
 #: A vector with more copies than this is represented in the index by a few of them.
