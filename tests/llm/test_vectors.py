@@ -112,6 +112,21 @@ def test_isolated_groups(spark, monkeypatch, rows):
     assert {(r.group_id, r.id) for r in C.isolated_groups(frame(spark, x)).collect()} == want
 
 
+@pytest.mark.parametrize("area, guests", [(98_304, 262_144), (8, 7)])
+def test_no_pair_is_missed_at_borders(spark, monkeypatch, area, guests):
+    monkeypatch.setattr(C, "AREA_ROWS", area, raising=False)
+    monkeypatch.setattr(C, "GUEST_ROWS", guests, raising=False)
+    # rows farther than a quarter of the similar distance from the border, whose difference points at it
+    turn = np.radians([33, 34, 57])
+    x = np.stack([np.cos(turn), np.sin(turn), [0, 0.02, 0]], axis=1).astype(np.float32)
+    monkeypatch.setattr(C, "fit_clusters", lambda *_: np.eye(3, dtype=np.float32)[:2])
+    assert len(isolated(x)) == 3 and {(r.group_id, r.id) for r in C.isolated_groups(frame(spark, x)).collect()} == isolated(x)
+    # rows with 20 clusters in reach
+    x = np.hstack([np.ones((20, 1)), 0.2 * np.eye(20)]).astype(np.float32)
+    monkeypatch.setattr(C, "fit_clusters", lambda *_: unit(x).astype(np.float32))
+    assert len(isolated(x)) == 20 and {(r.group_id, r.id) for r in C.isolated_groups(frame(spark, x)).collect()} == isolated(x)
+
+
 def test_groups_of_copies(spark):
     x = clumps(6, 40, 8, 3)
     x = np.vstack([x, np.repeat(x[:1], 90, axis=0), x[1:2], x[1:2]])
