@@ -3,8 +3,10 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from morphex.llm import mixing as M
+from morphex.llm import residue as R
 from morphex.llm import terms, tokens
 from morphex.llm.packing import Plan, pack, pack_report
 from morphex.llm.residue import residue_documents, without_residue
@@ -165,3 +167,24 @@ def test_shared_messages_must_recur(spark):
     assert residue_documents(one).count() == 0
     many = spark.createDataFrame([(i, f"Note {i}.\nThank you for your patience.", f"s{i % 2}") for i in range(4)], one.schema)
     assert residue_documents(many).count() == 4
+
+
+#: An example of every rule, in the rules' order.
+EXAMPLES = {
+    "PLACEHOLDERS": ["the {{ x }} here", "the ${x} here", "the <<name>> here", "the [[name]] here", "the {% if x %} here", "the @@name@@ here", "the *|name|* here", "the %(name)s here", "the __name__ here", "the {name} here", "the [insert name] here", "leg. TK here", "the xxx here"],
+    "FILLER": ["replace with dummy copy", "add dummy", "this is filler", "your caption here", "hier steht sp", "su descripción aquí", "ici viendra", "正文待补充", "test 1 test 2", "见示例内容示例内容"],
+    "NOTICES": ["turn on scripts", "this viewer needs scripts", "js is required", "your browser blocks", "please try another browser", "aktivieren sie js", "merci d'accepter js", "debe activar js", "您的浏览器未支持"],
+    "FAILURES": ["bad request", "404 - not acceptable", "status 5:", '{"code": 1, "reason": "x"}', "the requested resource does not exist", "sorry, but no", "this plate is not available right now", "you have been signed out", "deprecated: call to x", "unable to contact the host", "dns_probe_finished_nxdomain", "the site is down", "wartungsarbeiten", "veuillez vous reconnecter", "sitio en mantenimiento", "页面走丢了"],
+    "SHARED": ["oops!", "please wait and retry.", "vuelva a intentarlo", "site name: ??"],
+}
+MORE = ["method not allowed", "payment required", "not acceptable", "request timeout", "servicio no disponible", "el servicio no está disponible", "temporarily down for repairs", "please enable js"]
+
+
+def test_every_rule_finds_its_example(spark):
+    rules = [(x, rule) for kind, examples in EXAMPLES.items() for x, rule in zip(examples, R.PLACEHOLDERS.values() if kind == "PLACEHOLDERS" else getattr(R, kind), strict=True)]
+    df = spark.createDataFrame([(x, rule) for x, rule in rules], "text string, rule string")
+    assert [r.text for r in df.where(~F.exists(R.messages_of(F.col("text")), lambda m: F.regexp_like(m, F.col("rule")))).collect()] == []
+    texts = [x for x, _ in rules] + MORE
+    docs = spark.createDataFrame([(f"{i}", x, f"s{n % 2}") for i, x in enumerate(texts) for n in range(4)], "doc_id string, text string, source string")
+    found = {int(r.doc_id) for r in residue_documents(docs).collect()}
+    assert [x for i, x in enumerate(texts) if i not in found] == []
