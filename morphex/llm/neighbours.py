@@ -30,7 +30,6 @@ SHARD_ROWS = 49_152
 LEAST_CELLS, MOST_CELLS = 4, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
 ROUTE_RECALL = 0.96
-MOST_PROBES = 24
 #: Queries that one task answers, and how many of them at once.
 QUERY_ROWS = 262_144
 SEARCH_ROWS = 32_768
@@ -62,7 +61,7 @@ def fit_centroids(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) ->
 
 
 def fit_probes(x: np.ndarray, centroids: np.ndarray, k: int, queries: int = 1500, seed: int = 12) -> int:
-    """Cells to search per vector, so that ROUTE_RECALL of the sample's true neighbour pairs meet in one of them."""
+    """Cells to search per vector, so that ROUTE_RECALL of the sample's true neighbour pairs meet in one of them; all cells if need be."""
     cells = len(centroids)
     if cells == 1 or len(x) < 3:
         return 1
@@ -75,10 +74,7 @@ def fit_probes(x: np.ndarray, centroids: np.ndarray, k: int, queries: int = 1500
     s[np.arange(len(q)), q] = -3
     near = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
     meet = np.minimum(np.take_along_axis(rank[q], own[near], axis=1), rank[near, own[q][:, None]])
-    for probes in range(1, min(MOST_PROBES, cells) + 1):
-        if (meet < probes).mean() >= ROUTE_RECALL:
-            return probes
-    return min(MOST_PROBES, cells)
+    return next(probes for probes in range(1, cells + 1) if (meet < probes).mean() >= ROUTE_RECALL)
 
 
 def _router(centroids: np.ndarray, probes: int):

@@ -78,6 +78,19 @@ def check_neighbours(spark, x, k=5, least=0.9):
     assert hit / (len(x) * min(k, len(x) - 1)) >= least
 
 
+def test_probes_grow_until_the_recall_is_met():
+    x = unit(np.random.default_rng(9).normal(size=(4000, 64))).astype(np.float32)
+    centroids = N.fit_centroids(x, 120)
+    probes = N.fit_probes(x, centroids, 5)
+    own = (x @ centroids.T).argmax(axis=1)
+    s = x @ x.T
+    np.fill_diagonal(s, -3)
+    near = np.argsort(-s, axis=1)[:, :5]
+    ranks = np.argsort(np.argsort(-(x @ centroids.T), axis=1), axis=1)
+    meet = np.minimum(ranks[np.arange(len(x))[:, None], own[near]], ranks[near, own[:, None]]) < probes
+    assert probes > 24 and meet.mean() >= N.ROUTE_RECALL - 0.01
+
+
 @pytest.mark.parametrize("cell, shard", [(32_768, 49_152), (200, 150)])
 def test_neighbours_recall(spark, monkeypatch, cell, shard):
     monkeypatch.setattr(N, "CELL_ROWS", cell)
