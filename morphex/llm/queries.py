@@ -95,6 +95,8 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
     limits = read_table(spark, d, "pack_limits").select("pack_name", "capacity_tokens").distinct().limit(1001).collect()
+    if len(limits) > 1000:
+        raise ValueError("more than 1000 pack limits")
     counts = materialise(token_counts(spark, d))
     return [(r.pack_name, r.capacity_tokens, pack(counts, r.capacity_tokens)) for r in sorted(limits)]
 
