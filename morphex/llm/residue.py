@@ -28,21 +28,28 @@ _ASK = r"(?:insert|enter|fill in|fill|add|your|put|type|replace|hier einsetzen|e
 
 #: Grammar of unfilled places, tried anywhere in a message.
 PLACEHOLDERS = {
-    "braces": r"\{\{\{?[^{}]{1,90}\}\}\}?",
-    "dollar": rf"[$#]\{{[^{{}}]{{1,90}}\}}|\$\(\s*{_NAME}[^()]{{0,60}}\)",
-    "angles": r"<<\s*[\p{L}][^<>]{0,90}>>",
-    "brackets": r"\[\[\s*[\p{L}][^\[\]]{0,90}\]\]",
-    "statement": r"\{%[^{}]{1,90}%\}|<%[^<>]{1,90}%>",
-    "at_signs": r"@@[^@\s][^@]{0,90}@@",
-    "merge_tag": r"\*\|[^|]{1,90}\|\*",
+    "braces": r"\{\{\{?[^{}]++\}\}\}?",
+    "dollar": rf"[$#]\{{[^{{}}]++\}}|\$\(\s*{_NAME}[^()]*+\)",
+    "angles": r"<<\s*[\p{L}][^<>]*+>>",
+    "brackets": r"\[\[\s*[\p{L}][^\[\]]*+\]\]",
+    "statement": r"\{%[^{}]{2,}+(?<=%)\}|<%[^<>]{2,}+(?<=%)>",
+    "at_signs": r"@@[^@\s][^@]*+@@",
+    "merge_tag": r"\*\|[^|]++\|\*",
     "percent": rf"%\(\s*{_NAME}\)[sd]|(?<![\p{{N}}\p{{IsLatin}}])%{_NAME}%(?!\p{{IsLatin}})",
     "underscores": rf"(?<![\p{{IsLatin}}\p{{N}}_])__{_NAME}__(?!_)",
     "single_brace": rf"(?<![\p{{IsLatin}}\p{{N}}])\{{(?!otu_?0)(?:{_NAME}|0)\}}",
-    "asks": rf"[\[<【«‹]\s*{_ASK}(?![\p{{Ll}}])[^\[\]<>【】]{{0,90}}[\]>】»›]",
+    "asks": rf"[\[<【«‹]\s*{_ASK}(?![\p{{Ll}}])[^\[\]<>【】»›]*+[\]>】»›]",
     "mark": r"‹unfilled›",
     "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,12}|n{3,8}|tbd)(?![\p{IsLatin}\p{N}])|todo:)|\?{2,}\.\?{2,}|\?{4,}",
 }
 
+#: Where a text is cut into messages, and marks that are one place even if such a cut lies between them.
+_CUT = r"(?:[\r\n\x{2028}\x{85}]|[.!?…]['\"”’)]{0,2}\s|[。!?])"
+_TWO_SIDED = "|".join(
+    f"{start}(?={inside}*+{end}){inside}*?{_CUT}{inside}*+{end}"
+    for start, inside, end in ((r"\{\{\{?", "[^{}]", r"\}\}\}?"), (r"[$#]\{", "[^{}]", r"\}"), (r"<<\s*\p{L}", "[^<>]", ">>"), (r"\[\[\s*\p{L}", r"[^\[\]]", r"\]\]"), (r"\{%", "[^{}]", r"(?<=%)\}"), (r"<%", "[^<>]", "(?<=%)>"), (r"\*\|", "[^|]", r"\|\*"))
+)
+
 #: Words of a sentence that speaks of a placeholder instead of holding one.
 _SPOKEN_OF = r"(?:\btemplates?\b|\bmarker\b|\bplaceholders?\b|naming rule|\bthe printer fills\b|platzhalter|vorlage|\bmod[èe]le\b|\ble champ\b|\bplantilla\b|\bla marca\b|模板|占位符|变量)"
 
@@ -118,6 +125,7 @@ def messages_of(text: Column) -> Column:
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<=request id )[0-9a-f]++", "0")
     t = F.regexp_replace(t, r"\p{N}++(?:[.,:]\p{N}++)*+", "0")
+    t = F.regexp_replace(t, _TWO_SIDED, "‹unfilled›")
     parts = F.split(t, r"[\r\n\x{2028}\x{85}]+|(?<=[.!?…]['\"”’)]{0,2})\s+|(?<=[。!?])\s*")
     tidy = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^(?:[\s\-•#>=·–—\"'“”‘’«»]|[*|](?!\|)(?<!\*\|))++|(?:[\s\-\"'“”‘’«»]|(?<!\|)[*|](?!\*))++$", ""))
     return F.array_distinct(F.filter(tidy, lambda p: F.length(p) >= 3))

@@ -188,3 +188,14 @@ def test_every_rule_finds_its_example(spark):
     docs = spark.createDataFrame([(f"{i}", x, f"s{n % 2}") for i, x in enumerate(texts) for n in range(4)], "doc_id string, text string, source string")
     found = {int(r.doc_id) for r in residue_documents(docs).collect()}
     assert [x for i, x in enumerate(texts) if i not in found] == []
+
+
+def test_long_and_cut_placeholders(spark):
+    long = "some words of an expression " * 8
+    marks = [("{{ ", " }}"), ("${", "}"), ("<<", ">>"), ("[[", "]]"), ("{% ", " %}"), ("<% ", " %>"), ("*|", "|*")]
+    texts = [f"The plate {a}{x}{b} of May." for a, b in marks for x in (long, "if wide\n then short", "see p. below. Or above")]
+    texts += [f"The plate [insert {long}] of May.", f"The plate @@{long}@@ of May."]
+    plain = ["A set {a. b} and [c.\n d] of x < y. z > y.", f"An open {{{{ mark. {long}", "Two | bars. And | more * of it."]
+    docs = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string").withColumn("source", F.lit("a"))
+    found = {r.doc_id for r in residue_documents(docs).collect()}
+    assert [x for i, x in enumerate(texts) if i not in found] == [] and found == set(range(len(texts)))
