@@ -112,10 +112,12 @@ def read_distance_matrix(spark: SparkSession, path: str, delim: str = ",") -> Da
 
 
 def parameters_of_log(spark: SparkSession, path: str) -> dict:
-    """The JSON object after ``Parameters:`` in a run log whose lines may begin with [time stamps]. Logs are small files."""
+    """The JSON object after ``Parameters:`` in a run log whose lines may begin with [time stamps]. Lines before it are skipped; logs are small files."""
+    import itertools
     import json
 
-    text = "\n".join(re.sub(r"^\[[^\]]*\] ?", "", r.value) for r in spark.read.text(path, wholetext=False).limit(100_000).collect())
+    lines = (re.sub(r"^\[[^\]]*\] ?", "", r.value) for r in spark.read.text(path, wholetext=False).toLocalIterator())
+    text = "\n".join(itertools.dropwhile(lambda line: "Parameters:" not in line, lines))
     at = text.find("Parameters:")
     if at < 0 or (start := text.find("{", at)) < 0:
         return {}

@@ -62,6 +62,12 @@ def test_partitions_matrix_and_log(spark, tmp_path):
     assert S.parameters_of_log(spark, str(tmp_path / "run.log")) == {"k": {"a": 1}}
 
 
+@pytest.mark.parametrize("before", [99_999, 100_001])
+def test_parameters_far_down_a_log(spark, tmp_path, before):
+    (tmp_path / "run.log").write_text("[2026] step\n" * before + '[2026] Parameters: {\n[2026] "k": {"a": 1}}\n[2026] end\n')
+    assert S.parameters_of_log(spark, str(tmp_path / "run.log")) == {"k": {"a": 1}}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a b", 1), ("c", 2)], "sample string, n int")
     K.write_table(df, str(tmp_path / "out"), "json")
