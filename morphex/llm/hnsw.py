@@ -1,12 +1,12 @@
 """Hierarchical navigable small-world graph of one shard, as flat arrays, with searches over many queries at once.
 
 Layer 0 holds every vector, each further layer one in LAYER_RATIO of the layer below, until a layer has at most
-ENTRY_ROWS vectors. The links of a layer are chosen among each vector's nearest candidates in that layer by the usual
-diversity rule (a candidate that is closer to a link already chosen than to the vector itself waits), filled up with
-the nearest of those that waited, and completed by reverse links. Candidates come from blocked matrix products
-within the shard, whose size is capped, so building is linear in the number of shards. Searches enter at the top
-layer, which is scanned, and follow the links of each layer below with a bounded best-first list, all queries of a
-block stepping together.
+ENTRY_ROWS vectors. A vector hangs below the nearest one of the next layer, and its candidates are the vectors that hang
+below the nearest of those: all vectors of a layer are inserted at once, through the hierarchy. The links of a layer
+are chosen among the best candidates by the usual diversity rule (a candidate that is closer to a link already
+chosen than to the vector itself waits), filled up with the nearest of those that waited, and completed by
+reverse links. Searches enter at the top layer, which is scanned, and follow the links of each layer below with a
+bounded best-first list, all queries of a block stepping together.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LAYER_RATIO = 16
-ENTRY_ROWS = 4096
+LAYER_RATIO = 64
+ENTRY_ROWS = 1024
+#: Places at which a search enters a layer.
+SEEDS = 8
 CANDIDATES = 24
 LINKS = 16
 REVERSE = 8
@@ -25,6 +27,12 @@ WIDTH = 4  # vectors expanded at one step of a search
 SLACK = 0.15
 FIRST_STEPS = 2
 BLOCK_FLOATS = 6_000_000
+#: Up to so many rows all pairs are compared; above, a row with those that hang below this share of the next layer's vectors.
+ALL_PAIRS = 4096
+HANGING_SHARE = 0.16
+#: Vectors of the next layer whose rows give the first lists, and pairs held before lists are renewed.
+BESIDE = 12
+HELD_PAIRS = 1_000_000
 
 
 def nearest_lists(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +67,97 @@ def nearest_lists(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return out_i, out_s
 
 
+def _padded(row: np.ndarray, rows: int, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rows that occur, matrices of their values): entries of equal ``row`` side by side, free places -3 or -1."""
+    order = np.argsort(row, kind="stable")
+    count = np.bincount(row, minlength=rows)
+    touched = np.flatnonzero(count)
+    first = np.cumsum(count) - count
+    at, column = (np.cumsum(count > 0) - 1)[row[order]], np.arange(len(row)) - first[row[order]]
+    out = []
+    for v in values:
+        m = np.full((len(touched), count.max(initial=0)), -3 if v.dtype.kind == "f" else -1, v.dtype)
+        m[at, column] = v[order]
+        out.append(m)
+    return touched, out
+
+
+def _keep_best(near: np.ndarray, sim: np.ndarray, row: np.ndarray, other: np.ndarray, s: np.ndarray) -> None:
+    """Put (row, other, s) into the lists where they are better than what is there."""
+    if not len(row):
+        return
+    count = near.shape[1]
+    touched, (i, v) = _padded(row, len(near), other, s)
+    i, v = np.concatenate([near[touched], i], axis=1), np.concatenate([sim[touched], v], axis=1)
+    best = np.argpartition(-v, count - 1, axis=1)[:, :count]
+    near[touched], sim[touched] = np.take_along_axis(i, best, axis=1), np.take_along_axis(v, best, axis=1)
+
+
+def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``nearest_lists``, from the rows that hang below the nearest vectors of the layer above.
+
+    ``entries``: the vectors of that layer; ``home``: the one of them that each row hangs below, rows sorted by it. A row is compared with
+    all rows below the ``share`` of the entries nearest to it, and what is found serves both rows of a pair.
+    """
+    n, m = len(x), len(entries)
+    start = np.searchsorted(home, np.arange(m + 1))
+    near, sim = np.full((n, count), -1, np.int32), np.full((n, count), -2, np.float32)
+    beside = np.zeros((m, m), bool)
+    order = np.argsort(-(entries @ entries.T), axis=1, kind="stable")[:, :BESIDE]
+    beside[np.arange(m)[:, None], order] = True
+    beside |= beside.T
+    np.fill_diagonal(beside, True)
+    for h in range(m):  # first lists, from the entries beside one another
+        a, b = start[h], start[h + 1]
+        cells = np.flatnonzero(beside[h])
+        there = np.concatenate([np.arange(start[c], start[c + 1]) for c in cells])
+        step = max(1, BLOCK_FLOATS // (8 * len(there) + 1))
+        for a in range(start[h], start[h + 1], step):
+            mine = np.arange(a, min(a + step, b))
+            s = x[mine] @ x[there].T
+            s[np.arange(len(mine)), np.searchsorted(there, mine)] = -3
+            k = min(count, len(there))
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            near[mine, :k], sim[mine, :k] = there[best], np.take_along_axis(s, best, axis=1)
+    near[sim < -2] = -1
+    visits = np.empty((m, -(-n // 8)), np.uint8)
+    few = max(BESIDE, min(m, int(np.ceil(share * m))))
+    for a in range(0, n, 4096):
+        s = x[a : a + 4096] @ entries.T
+        visits[:, a // 8 : -(-min(a + 4096, n) // 8)] = np.packbits((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T, axis=1)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting, kth = 0, sim.min(axis=1)
+    for h in range(m):
+        a, b = start[h], start[h + 1]
+        if a == b:
+            continue
+        goes = np.unpackbits(visits[h], count=n)
+        for c in np.flatnonzero(beside[h]):
+            goes[start[c] : start[c + 1]] = 0
+        guests = np.flatnonzero(goes)
+        below = np.ascontiguousarray(x[a:b].T)
+        step = max(1, BLOCK_FLOATS // (8 * (b - a)))
+        for g in range(0, len(guests), step):
+            i = guests[g : g + step]
+            s = x[i] @ below
+            at = np.flatnonzero(s > np.minimum(kth[i][:, None], kth[None, a:b]))
+            r, c = np.divmod(at, b - a)
+            i, j, s = i[r], a + c, s.ravel()[at]
+            # two rows that go to each other's entry meet twice; the second time counts for neither
+            again = (home[i] < h) & ((visits[home[i], j >> 3] >> (7 - (j & 7)).astype(np.uint8)) & 1).astype(bool)
+            i, j, s = i[~again].astype(np.int32), j[~again].astype(np.int32), s[~again]
+            one, two = s > kth[i], s > kth[j]
+            held.append((np.concatenate([i[one], j[two]]), np.concatenate([j[one], i[two]]), np.concatenate([s[one], s[two]])))
+            waiting += len(held[-1][0])
+        if waiting > HELD_PAIRS or h == m - 1:
+            _keep_best(near, sim, *(np.concatenate(p) for p in zip(*held))) if held else None
+            held, waiting, kth = [], 0, sim.min(axis=1)
+    if held:
+        _keep_best(near, sim, *(np.concatenate(p) for p in zip(*held)))
+    order = np.lexsort((near, -sim), axis=1)
+    return np.take_along_axis(near, order, axis=1), np.take_along_axis(sim, order, axis=1)
+
+
 def choose_links(x: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """(n, LINKS + REVERSE) link array from candidate lists; -1 marks free places."""
     n, width = near.shape
@@ -101,34 +200,38 @@ class Graph:
         """(indices, similarities), best first, of about the ``ef`` most similar rows of each unit query; -1 fills up.
 
         ``wanted``: similarity below which a query's results are of no use; it stops when what it could follow next
-        lies more than SLACK below.
+        lies more than SLACK below. Queries that enter at the same place are searched together.
         """
-        bound = np.full(len(queries), -2.0) if wanted is None else wanted
-        parts = [self._search(queries[a : a + block], ef, bound[a : a + block]) for a in range(0, len(queries), block)]
-        if not parts:
-            return np.zeros((0, ef), np.int32), np.zeros((0, ef), np.float32)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def _search(self, q: np.ndarray, ef: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         layers = [np.arange(len(self.x), dtype=np.int64)]
         for places in self.below:
             layers.append(layers[-1][places])
-        top = layers[-1]
-        s = q @ self.x[top].T
-        seeds = min(8, len(top))
-        per = len(top) // seeds
-        at = s[:, : seeds * per].reshape(len(q), seeds, per).argmax(axis=2) + np.arange(seeds) * per
-        at = np.where((s.argmax(axis=1)[:, None] >= seeds * per) & (np.arange(seeds) == 0), s.argmax(axis=1)[:, None], at)
-        if not self.below:  # a single layer, which has been scanned
-            order = np.argsort(-s, axis=1, kind="stable")[:, :ef]
-            i, v = np.full((len(q), ef), -1, np.int32), np.full((len(q), ef), -2, np.float32)
-            i[:, : order.shape[1]], v[:, : order.shape[1]] = order, np.take_along_axis(s, order, axis=1)
-            return i, v
-        for layer in range(len(self.below) - 1, -1, -1):
-            at = self.below[layer][at]
-            i, v = _follow(self.x, layers[layer] if layer else None, self.links[layer], q, at, ef if layer == 0 else 8, wanted)
-            at = np.where(i[:, :8] >= 0, i[:, :8], i[:, :1])
-        return i, v
+        found, sim = np.full((len(queries), ef), -1, np.int32), np.full((len(queries), ef), -2, np.float32)
+        if not len(queries):
+            return found, sim
+        entries = self.x[layers[-1]].T
+        if not self.below:  # a single layer, which is scanned
+            for a in range(0, len(queries), block):
+                s = queries[a : a + block] @ entries
+                order = np.argsort(-s, axis=1, kind="stable")[:, :ef]
+                found[a : a + block, : order.shape[1]], sim[a : a + block, : order.shape[1]] = order, np.take_along_axis(s, order, axis=1)
+            return found, sim
+        seeds = min(SEEDS, entries.shape[1])
+        at = np.empty((len(queries), seeds), np.int64)
+        for a in range(0, len(queries), block):
+            s = queries[a : a + block] @ entries
+            near = np.argpartition(-s, seeds - 1, axis=1)[:, :seeds]
+            at[a : a + block] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+        together = np.argsort(at[:, 0], kind="stable")
+        bound = np.full(len(queries), -2.0) if wanted is None else wanted
+        for a in range(0, len(queries), block):
+            rows = together[a : a + block]
+            start = at[rows]
+            for layer in range(len(self.below) - 1, -1, -1):
+                start = self.below[layer][start]
+                i, v = _follow(self.x, layers[layer] if layer else None, self.links[layer], queries[rows], start, ef if layer == 0 else SEEDS, bound[rows])
+                start = np.where(i[:, :SEEDS] >= 0, i[:, :SEEDS], i[:, :1])
+            found[rows], sim[rows] = i, v
+        return found, sim
 
 
 _ONE = 1 << 29
@@ -180,16 +283,38 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
     return np.where(free, -1, pool & (_DONE - 1)).astype(np.int32), np.where(free, -2.0, (_ONE - (pool >> 32)) / _ONE).astype(np.float32)
 
 
-def build(x: np.ndarray, seed: int = 7) -> tuple[Graph, np.ndarray, np.ndarray]:
-    """Graph of the unit rows ``x`` and the candidate lists (indices, similarities) of its lowest layer."""
-    near, sim = nearest_lists(x, CANDIDATES)
-    links, below = [choose_links(x, near, sim)], []
-    rows, rng = np.arange(len(x)), np.random.default_rng(seed)
-    while len(rows) > 64 and (not below or len(rows) > ENTRY_ROWS):
-        places = np.sort(rng.choice(len(rows), -(-len(rows) // LAYER_RATIO), replace=False))
-        below.append(places)
-        rows = rows[places]
-        if len(rows) > ENTRY_ROWS:
-            i, s = nearest_lists(x[rows], CANDIDATES)
-            links.append(choose_links(x[rows], i, s))
-    return Graph(x, links, below), near, sim
+def candidate_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return nearest_lists(x, count) if len(x) <= ALL_PAIRS else hanging_lists(x, count, entries, home, HANGING_SHARE)
+
+
+def build(x: np.ndarray, seed: int = 7) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """(graph of the unit rows ``x``, candidate lists of its lowest layer and their similarities, order of the rows in it).
+
+    Rows that hang below the same vector of the next layer lie side by side, and so do such vectors near each other.
+    """
+    rng = np.random.default_rng(seed)
+    layers = [np.arange(len(x))]  # places in x, lowest layer first
+    while len(layers[-1]) > 64 and (len(layers) == 1 or len(layers[-1]) > ENTRY_ROWS):
+        layers.append(np.sort(rng.choice(layers[-1], -(-len(layers[-1]) // LAYER_RATIO), replace=False)))
+    homes: list[np.ndarray] = []
+    pivots = x[layers[-1][:: max(1, len(layers[-1]) // 32)]]
+    layers[-1] = layers[-1][np.argsort((x[layers[-1]] @ pivots.T).argmax(axis=1), kind="stable")]
+    for level in range(len(layers) - 2, -1, -1):  # from the top down, so that a layer follows the order of the one above
+        rows, above = layers[level], np.ascontiguousarray(x[layers[level + 1]].T)
+        home = np.concatenate([(x[rows[a : a + 4096]] @ above).argmax(axis=1) for a in range(0, len(rows), 4096)])
+        order = np.argsort(home, kind="stable")
+        layers[level] = rows[order]
+        homes.insert(0, home[order])
+    links, below, near, sim = [], [], None, None
+    for level in range(max(1, len(layers) - 1)):
+        own = x[layers[level]]
+        above = layers[min(level + 1, len(layers) - 1)]
+        i, s = candidate_lists(own, CANDIDATES, x[above], homes[level] if homes else np.zeros(len(own), np.int64))
+        links.append(choose_links(own, i, s))
+        if level == 0:
+            near, sim = i, s
+        if level + 1 < len(layers):
+            place = np.empty(len(x), np.int64)
+            place[layers[level]] = np.arange(len(layers[level]))
+            below.append(place[above])
+    return Graph(x[layers[0]], links, below), near, sim, layers[0]

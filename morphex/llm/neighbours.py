@@ -2,8 +2,8 @@
 
 1. Directions are cut into cells by centroids fitted on a bounded sample. A cell with more rows than SHARD_ROWS is split
    by a hash into several shards, so no shard depends on how the data cluster.
-2. One task per shard builds a navigable small-world graph of its rows (see ``hnsw``) and gives each row its best
-   neighbours within the shard. The graph is stored as flat arrays, one table row per shard.
+2. One task per shard builds a navigable small-world graph of its rows (see ``hnsw``), whose candidate lists give each row
+   its best neighbours within the shard. The graph is stored as flat arrays, one table row per shard.
 3. Every vector is searched in the shards of the next most similar cells. How many is measured on the sample, so that
    ROUTE_RECALL of the true neighbours lie in them. A pair found from either side serves both.
 4. Results of all shards are merged per vector; reported cosines are computed in double precision.
@@ -22,24 +22,30 @@ from ..runtime import materialise, release
 from . import hnsw
 from .vectors import matrix, unit
 
-#: Rows that the centroids and the number of searched cells are fitted on; every row is indexed and searched.
+#: Rows that the centroids and the number of searched cells are fitted on, at least and for every cell; every row is indexed and searched.
 SAMPLE_ROWS = 20_000
-#: Wanted rows of a cell, and the most rows of a shard (two bytes hold a place in it).
-CELL_ROWS = 32_768
-SHARD_ROWS = 49_152
+SAMPLE_CELL_ROWS = 64
+#: Wanted rows of a cell, and the most rows of a shard.
+CELL_ROWS = 65_536
+SHARD_ROWS = 131_072
 LEAST_CELLS, MOST_CELLS = 4, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
 ROUTE_RECALL = 0.96
 #: Queries that one task answers, and how many of them at once.
-QUERY_ROWS = 262_144
+QUERY_ROWS = 131_072
 SEARCH_ROWS = 32_768
 #: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
 ROUNDS = 2
-#: Length of the candidate list of a search.
+#: Length of the candidate list of a search, and candidates besides the k best whose cosines are computed exactly.
 EF = 32
+SPARE = 4
+#: Up to so many rows are one cell.
+SMALL_ROWS = 4096
 #: A vector with more copies than this is represented in the index by a few of them.
 COPIES = 64
 
+#: Parts of a cell that a shard number has room for.
+_PARTS = 1 << 20
 _SHARD_SCHEMA = "shard long, rows binary, row_ids binary, kth binary, links array<binary>, below array<binary>, near binary, cosine binary, target_ends binary, targets binary"
 _PAIR_SCHEMA = "a long, b long, cosine double"
 
@@ -50,7 +56,7 @@ def fit_centroids(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11) ->
     cells = min(cells, len(x))
     c = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
+        own = np.concatenate([(x[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(x), 4096)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         size = np.sqrt((total**2).sum(axis=1))
@@ -65,31 +71,60 @@ def fit_probes(x: np.ndarray, centroids: np.ndarray, k: int, queries: int = 1500
     cells = len(centroids)
     if cells == 1 or len(x) < 3:
         return 1
-    order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(cells)[None, :].repeat(len(x), 0), axis=1)
-    own = order[:, 0]
-    q = np.random.default_rng(seed).choice(len(x), min(queries, len(x)), replace=False)
-    s = x[q] @ x.T
-    s[np.arange(len(q)), q] = -3
-    near = np.argpartition(-s, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-    meet = np.minimum(np.take_along_axis(rank[q], own[near], axis=1), rank[near, own[q][:, None]])
-    return next(probes for probes in range(1, cells + 1) if (meet < probes).mean() >= ROUTE_RECALL)
-
-
-def _router(centroids: np.ndarray, probes: int):
-    def route(batches):
+    own = np.concatenate([(x[a : a + 4096] @ centroids.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+    chosen = np.random.default_rng(seed).choice(len(x), min(queries, len(x)), replace=False)
+    k, meet = min(k, len(x) - 1), []
+    for a in range(0, len(chosen), 256):
+        q = chosen[a : a + 256]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -3
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        # how many cells are nearer to a row than that of its neighbour, from either side
+        one, two = x[q] @ centroids.T, (x[near.ravel()] @ centroids.T).reshape(len(q), k, cells)
+        there = (one[:, None, :] > np.take_along_axis(one, own[near], axis=1)[:, :, None]).sum(axis=2)
+        back = (two > np.take_along_axis(two, own[q][:, None, None].repeat(k, 1), axis=2)).sum(axis=2)
+        meet.append(np.minimum(there, back).ravel())
+    needed = np.sort(np.concatenate(meet))
+    return int(needed[int(np.ceil(ROUTE_RECALL * len(needed))) - 1]) + 1
+
+
+def _nearest_cells(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` nearest cells of each row, its own first."""
+    s = x @ centroids.T
+    top = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.argsort(-s, axis=1)
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _cell_sizes(centroids: np.ndarray):
+    """(cell, n) of every batch."""
+
+    def run(batches):
         for batch in batches:
-            x = unit(matrix(batch.column("v"))).astype(np.float32)
-            if not len(x):
+            if batch.num_rows:
+                cell, n = np.unique(_nearest_cells(unit(matrix(batch.column("v"))).astype(np.float32), centroids, 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n)], names=["cell", "n"])
+
+    return run
+
+
+def _placer(centroids: np.ndarray, probes: int, parts: np.ndarray):
+    """Rows with the shard that they live in and the other shards that they are searched in. ``parts``: shards of each cell."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            s = x @ centroids.T
-            top = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.argsort(-s, axis=1)
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable"), axis=1)
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(0, top.size + 1, probes, dtype=np.int32)), pa.array(top.ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("v"), cells], names=["row_id", "v", "cells"])
+            cells = _nearest_cells(unit(matrix(batch.column("v"))).astype(np.float32), centroids, probes).astype(np.int64)
+            own = cells[:, 0] * _PARTS + batch.column("row_id").to_numpy() % parts[cells[:, 0]]
+            many = parts[cells.ravel()]
+            first = np.cumsum(many) - many
+            target = np.repeat(cells.ravel() * _PARTS - first, many) + np.arange(many.sum())
+            row = np.repeat(np.repeat(np.arange(len(cells)), probes), many)
+            other = target != own[row]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[other], minlength=len(cells)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("row_id"), batch.column("v"), pa.ListArray.from_arrays(pa.array(ends), pa.array(target[other]))], names=["shard", "row_id", "v", "targets"])
 
-    return route
+    return run
 
 
 def _pairs_table(a: np.ndarray, b: np.ndarray, cosine: np.ndarray) -> pa.Table:
@@ -111,8 +146,10 @@ def _index_shard(k: int):
     def run(table: pa.Table) -> pa.Table:
         raw, ids = matrix(table.column("v")), table.column("row_id").to_numpy()
         order = np.argsort(ids, kind="stable")
+        graph, near, _, placed = hnsw.build(unit(raw[order]).astype(np.float32))
+        order = order[placed]
         raw, ids = raw[order], ids[order]
-        graph, near, _ = hnsw.build(unit(raw).astype(np.float32))
+        near = near[:, : k + SPARE]  # best first; exact cosines decide among a few more than are wanted
         n, width = near.shape
         a, b = np.repeat(np.arange(n), width), near.ravel()
         keep = b >= 0
@@ -128,9 +165,9 @@ def _index_shard(k: int):
                 "rows": [raw.tobytes()],
                 "row_ids": [ids.tobytes()],
                 "kth": [kth.tobytes()],
-                "links": pa.array([[x.astype(np.uint16).tobytes() for x in graph.links]], pa.list_(pa.binary())),  # -1 becomes 65535
+                "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
                 "below": pa.array([[x.astype(np.int64).tobytes() for x in graph.below]], pa.list_(pa.binary())),
-                "near": [np.take_along_axis(near, best, axis=1).astype(np.uint16).tobytes()],
+                "near": [np.take_along_axis(near, best, axis=1).tobytes()],
                 "cosine": [np.take_along_axis(cosine, best, axis=1).tobytes()],
                 "target_ends": [np.cumsum(targets.value_lengths().to_numpy()).astype(np.int64).tobytes()],
                 "targets": [targets.flatten().to_numpy().astype(np.int64).tobytes()],
@@ -140,15 +177,9 @@ def _index_shard(k: int):
     return run
 
 
-def _links(stored: bytes) -> np.ndarray:
-    x = np.frombuffer(stored, np.uint16).astype(np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE)
-    x[x == 65_535] = -1
-    return x
-
-
 def _load(row: dict, dims: int) -> tuple[hnsw.Graph, np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(row["rows"], np.float32).reshape(-1, dims)
-    graph = hnsw.Graph(unit(raw).astype(np.float32), [_links(x) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
+    graph = hnsw.Graph(unit(raw).astype(np.float32), [np.frombuffer(x, np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
     return graph, raw, np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["kth"], np.float64)
 
 
@@ -159,9 +190,9 @@ def _own_results(k: int, dims: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["row_ids"], np.int64)
-                near = np.frombuffer(row["near"], np.uint16).astype(np.int64).reshape(len(ids), -1)
+                near = np.frombuffer(row["near"], np.int32).reshape(len(ids), -1)
                 a, b = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
-                keep = b < 65_535
+                keep = b >= 0
                 yield from _pairs_table(ids[a[keep]], ids[b[keep]], np.frombuffer(row["cosine"], np.float64)[keep]).to_batches(max_chunksize=50_000)
 
     return run
@@ -177,10 +208,6 @@ def _best_of(group: np.ndarray, value: np.ndarray, of: np.ndarray, k: int) -> np
     return out
 
 
-#: Parts of a cell that a shard number has room for.
-_PARTS = 1 << 20
-
-
 def _turn(shard):
     """Turn in which a shard is searched, of a column as of an array: cell and part number by ROUNDS."""
     cell = F.shiftright(shard, 20) if isinstance(shard, Column) else shard >> 20
@@ -284,30 +311,29 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
         copied = member.select("id", F.posexplode(own).alias("rank", "neighbour")).select("id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("rank") + 1).alias("rank"))
         copied_ids = member.select("row_id")
 
-    sample = unit(np.array([r.v for r in rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("v").toLocalIterator()], np.float32)).astype(np.float32)
-    cells = int(min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL_ROWS)))) if total > 4096 else 1
+    cells = int(min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL_ROWS)))) if total > SMALL_ROWS else 1
+    drawn = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(max(SAMPLE_ROWS, SAMPLE_CELL_ROWS * cells)).select("v")
+    sample = unit(np.array([r.v for r in drawn.toLocalIterator()], np.float32)).astype(np.float32)
     centroids = fit_centroids(sample, cells)
     probes = fit_probes(sample, centroids, k)
-    routed = indexed.select("row_id", "v").mapInArrow(_router(centroids, probes), "row_id long, v array<float>, cells array<int>")
     # counts of cells decide into how many shards each is split; at most MOST_CELLS numbers
-    sizes = {r.cell: r.n for r in routed.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, -(-n // SHARD_ROWS))))
-    part_of = lambda cell: F.pmod(F.xxhash64("row_id"), F.coalesce(parts[cell], F.lit(1)).cast("long"))
-    shard_of = lambda cell, part: cell.cast("long") * _PARTS + part
-    targets = F.flatten(F.transform("cells", lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(parts[c], F.lit(1)).cast("long") - 1), lambda p: shard_of(c, p))))
-    placed = routed.withColumn("shard", shard_of(F.col("cells")[0], part_of(F.col("cells")[0])))
-    placed = placed.select("shard", "row_id", "v", F.filter(targets, lambda t: t != F.col("shard")).alias("targets"))
+    sizes = {r.cell: r.n for r in indexed.select("v").mapInArrow(_cell_sizes(centroids), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    parts = np.array([max(1, -(-sizes.get(c, 0) // SHARD_ROWS)) for c in range(len(centroids))])
+    placed = indexed.select("row_id", "v").mapInArrow(_placer(centroids, probes, parts), "shard long, row_id long, v array<float>, targets array<long>")
     index = materialise(placed.groupBy("shard").applyInArrow(_index_shard(k), _SHARD_SCHEMA))
     names = materialise(rows.select("row_id", "id"))
-    del placed, routed, indexed, rows
+    del placed, indexed, rows
     release(spark)
 
     pairs = index.select("row_ids", "near", "cosine").mapInArrow(_own_results(k, dims), _PAIR_SCHEMA)
-    if probes > 1 or max(sizes.values()) > SHARD_ROWS:
+    if probes > 1 or parts.max() > 1:
         # a shard that most rows are searched in is searched by several tasks; at most one number a shard
         asked = {r.shard: r.n for r in index.select("targets").mapInArrow(_target_counts, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        crowded = {x: -(-n // QUERY_ROWS) for x, n in asked.items() if n > QUERY_ROWS}
-        tasks = F.coalesce(F.create_map(*(F.lit(v) for x, n in crowded.items() for v in (x, n)))[F.col("shard")], F.lit(1)) if crowded else F.lit(1)
+        # of a cell that is searched by more than QUERY_ROWS, every shard is searched by several tasks
+        most = np.ones(len(parts), np.int64)
+        for x, n in asked.items():
+            most[x // _PARTS] = max(most[x // _PARTS], -(-n // QUERY_ROWS))
+        tasks = F.array(*(F.lit(int(x)).cast("long") for x in most))[F.shiftright("shard", 20).cast("int")]  # at most MOST_CELLS numbers
         for turn in range(ROUNDS):
             now = _turn(F.col("shard")) == turn
             queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims, turn), "shard long, row_id long, v array<float>, kth double")
@@ -325,3 +351,42 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
         ranked = ranked.where(F.col("cosine") >= least_cosine)
     named = ranked.join(names.select(F.col("row_id").alias("b"), F.col("id").alias("neighbour")), "b").join(names.select(F.col("row_id").alias("a"), "id"), "a").select("id", "neighbour", "cosine", "rank")
     return named if copied is None else named.unionByName(copied)
+
+
+def _exact_lists(ids: list[str], q: np.ndarray, k: int):
+    """(query, cosine): the k greatest cosines of each query's other rows, of every task."""
+
+    def run(batches):
+        best = np.full((len(q), k), -2.0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, names = unit(matrix(batch.column("v"))), np.array(batch.column("id").to_pylist(), object)
+            s = q @ x.T
+            s[np.array(ids, object)[:, None] == names[None, :]] = -3
+            best = -np.sort(-np.concatenate([best, s], axis=1), axis=1)[:, :k]
+        row, at = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(best[row, at])], names=["query", "cosine"])
+
+    return run
+
+
+def measured_recall(vectors: DataFrame, neighbours: DataFrame, k: int = 5, queries: int = 500) -> DataFrame:
+    """(n_queries, n_wanted, n_found, recall) of ``neighbours`` against all rows of ``vectors``, for about ``queries`` hashed rows.
+
+    A given neighbour counts as found if it is at least as similar as the k-th of the exact list. Exact lists come from blocks of all
+    rows against the queries, whose number is bounded; one row or none gives no queries and a null recall.
+    """
+    rows = vectors.select("id", "v")
+    every = max(1, rows.count() // queries)
+    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(8 * queries).collect()  # a bounded query set, as documented
+    if not asked:
+        return vectors.sparkSession.createDataFrame([(0, 0, 0, None)], "n_queries long, n_wanted long, n_found long, recall double")
+    ids = [r.id for r in asked]
+    exact = rows.mapInArrow(_exact_lists(ids, unit(np.array([r.v for r in asked], np.float32)), k), "query long, cosine double")
+    exact = exact.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("cosine"), asc=False), 1, k).alias("best"))  # at most k numbers a task
+    names = vectors.sparkSession.createDataFrame(list(enumerate(ids)), "query long, id string")
+    wanted = names.join(exact, "query").select("id", F.size("best").alias("wanted"), F.element_at("best", -1).alias("kth"))
+    hits = neighbours.join(F.broadcast(wanted), "id").groupBy("id").agg(F.count_if(F.col("cosine") >= F.col("kth") - 1e-9).alias("hits"))
+    both = wanted.join(hits, "id", "left").agg(F.count(F.lit(1)).alias("n_queries"), F.sum("wanted").alias("n_wanted"), F.sum(F.least("wanted", F.coalesce("hits", F.lit(0)))).alias("n_found"))
+    return both.withColumn("recall", F.col("n_found") / F.col("n_wanted"))

@@ -11,7 +11,7 @@ from ..runtime import materialise, read_table, term
 from .clusters import assign_clusters, describe_clusters, isolated_groups
 from .digest import certify, digest_percentiles, digests, merge_digests
 from .mixing import mix
-from .neighbours import nearest_neighbours
+from .neighbours import measured_recall, nearest_neighbours
 from .packing import pack, pack_report
 from .residue import judged_messages, residue_documents, without_residue
 from .terms import term_frequencies
@@ -33,6 +33,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of p2_neighbours against exact lists of about 500 hashed queries."""
+    rows = materialise(usable(spark, d).select("id", "v"))
+    return measured_recall(rows, nearest_neighbours(rows, k=5), k=5)
+
+
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -131,7 +137,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p7_packed": p7_packed, "p7_report": p7_report, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p7_packed": p7_packed, "p7_report": p7_report, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (

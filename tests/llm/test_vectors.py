@@ -54,8 +54,8 @@ def test_lists_are_exact():
 
 def test_graph_search_recall():
     x = unit(np.random.default_rng(2).normal(size=(6000, 16))).astype(np.float32)
-    g, _, _ = hnsw.build(x[:5500])
-    found, _ = g.search(x[5500:], 64)
+    g, *_, order = hnsw.build(x[:5500])
+    found = order[g.search(x[5500:], 64)[0]]
     true = np.argsort(-(x[5500:] @ x[:5500].T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(true, found)]) > 0.9
 
@@ -101,6 +101,31 @@ def test_neighbours_recall(spark, monkeypatch, cell, shard):
     check_neighbours(spark, x)
 
 
+def test_recall_with_many_cells_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 60)
+    x = np.vstack([clumps(), np.random.default_rng(5).normal(size=(3300, 16)).astype(np.float32)])
+    assert -(-len(x) // N.CELL_ROWS) >= 64
+    df = frame(spark, x)
+    near = N.nearest_neighbours(df, 5).cache()
+    r = N.measured_recall(df, near, 5, 400).first()
+    s = unit(x.astype(float)) @ unit(x.astype(float)).T
+    np.fill_diagonal(s, -3)
+    kth = np.sort(s, axis=1)[:, -5]
+    all_ = np.mean([q.cosine >= kth[int(q.id[2:7])] - 1e-9 for q in near.collect()])
+    assert 200 <= r.n_queries <= 1600 and r.recall == r.n_found / r.n_wanted and r.recall >= 0.9 and all_ >= 0.9 and abs(r.recall - all_) < 0.04
+    assert N.measured_recall(df.limit(0), near).first().recall is None
+
+
+def test_hanging_lists_find_most_of_the_nearest():
+    x = unit(np.random.default_rng(3).normal(size=(6000, 12))).astype(np.float32)
+    _, near, sim, order = hnsw.build(x)
+    y = x[order]
+    full = y @ y.T
+    np.fill_diagonal(full, -3)
+    assert np.allclose(np.take_along_axis(full, near.astype(int), axis=1), sim, atol=1e-6) and all(len(set(r)) == len(r) for r in near.tolist())
+    assert (np.diff(sim, axis=1) <= 0).all() and (sim[:, :5] >= np.sort(full, axis=1)[:, -5][:, None] - 1e-6).mean() > 0.95
+
+
 def test_neighbours_of_copies_and_few_rows(spark):
     x = clumps(3, 60, 8, 3)
     x = np.vstack([x, np.repeat(x[:1], 100, axis=0), x[5:8] * 2])
