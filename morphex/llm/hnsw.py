@@ -32,7 +32,7 @@ ALL_PAIRS = 4096
 HANGING_SHARE = 0.16
 #: Vectors of the next layer whose rows give the first lists, and pairs held before lists are renewed.
 BESIDE = 12
-HELD_PAIRS = 1_000_000
+HELD_PAIRS = 500_000
 
 
 def nearest_lists(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +67,15 @@ def nearest_lists(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return out_i, out_s
 
 
-def _padded(row: np.ndarray, rows: int, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(rows that occur, matrices of their values): entries of equal ``row`` side by side, free places -3 or -1."""
-    order = np.argsort(row, kind="stable")
-    count = np.bincount(row, minlength=rows)
+def _padded(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(rows that occur, matrices of their values): entries of equal ``row``, which is sorted, side by side; free places -3 or -1."""
+    count = np.bincount(row)
     touched = np.flatnonzero(count)
-    first = np.cumsum(count) - count
-    at, column = (np.cumsum(count > 0) - 1)[row[order]], np.arange(len(row)) - first[row[order]]
+    at, column = (np.cumsum(count > 0) - 1)[row], np.arange(len(row)) - (np.cumsum(count) - count)[row]
     out = []
     for v in values:
-        m = np.full((len(touched), count.max(initial=0)), -3 if v.dtype.kind == "f" else -1, v.dtype)
-        m[at, column] = v[order]
+        m = np.full((len(touched), count.max()), -3 if v.dtype.kind == "f" else -1, v.dtype)
+        m[at, column] = v
         out.append(m)
     return touched, out
 
@@ -87,10 +85,23 @@ def _keep_best(near: np.ndarray, sim: np.ndarray, row: np.ndarray, other: np.nda
     if not len(row):
         return
     count = near.shape[1]
-    touched, (i, v) = _padded(row, len(near), other, s)
-    i, v = np.concatenate([near[touched], i], axis=1), np.concatenate([sim[touched], v], axis=1)
-    best = np.argpartition(-v, count - 1, axis=1)[:, :count]
-    near[touched], sim[touched] = np.take_along_axis(i, best, axis=1), np.take_along_axis(v, best, axis=1)
+    order = np.argsort(row, kind="stable")
+    row, other, s = row[order], other[order], s[order]
+    many = np.flatnonzero(np.bincount(row) > 3 * count)
+    if len(many):  # of rows with very many entries only the best are laid side by side
+        at = np.flatnonzero(np.isin(row, many))
+        at = at[np.lexsort((-s[at], row[at]))]
+        keep = np.ones(len(row), bool)
+        keep[at[np.arange(len(at)) - np.searchsorted(row[at], row[at]) >= count]] = False
+        row, other, s = row[keep], other[keep], s[keep]
+    for a in range(0, len(near), 16_384):
+        at = slice(*np.searchsorted(row, [a, a + 16_384]))
+        if at.start == at.stop:
+            continue
+        touched, (i, v) = _padded(row[at] - a, other[at], s[at])
+        i, v = np.concatenate([near[touched + a], i], axis=1), np.concatenate([sim[touched + a], v], axis=1)
+        best = np.argpartition(-v, count - 1, axis=1)[:, :count]
+        near[touched + a], sim[touched + a] = np.take_along_axis(i, best, axis=1), np.take_along_axis(v, best, axis=1)
 
 
 def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +165,19 @@ def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarr
             held, waiting, kth = [], 0, sim.min(axis=1)
     if held:
         _keep_best(near, sim, *(np.concatenate(p) for p in zip(*held)))
-    order = np.lexsort((near, -sim), axis=1)
-    return np.take_along_axis(near, order, axis=1), np.take_along_axis(sim, order, axis=1)
+    for a in range(0, n, 16_384):
+        order = np.argsort(-sim[a : a + 16_384], axis=1, kind="stable")
+        near[a : a + 16_384], sim[a : a + 16_384] = np.take_along_axis(near[a : a + 16_384], order, axis=1), np.take_along_axis(sim[a : a + 16_384], order, axis=1)
+    return near, sim
 
 
 def choose_links(x: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray:
     """(n, LINKS + REVERSE) link array from candidate lists; -1 marks free places."""
     n, width = near.shape
     links = np.full((n, LINKS + REVERSE), -1, np.int32)
-    for a in range(0, n, 4096):
-        c, s = near[a : a + 4096], sim[a : a + 4096]
+    closeness = np.full((n, LINKS), -2, np.float32)
+    for a in range(0, n, 2048):
+        c, s = near[a : a + 2048], sim[a : a + 2048]
         y = x[np.maximum(c, 0)]
         between = y @ y.transpose(0, 2, 1)
         kept = np.zeros(c.shape, bool)
@@ -171,20 +185,22 @@ def choose_links(x: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray
             kept[:, j] = (c[:, j] >= 0) & ~((between[:, :j, j] > s[:, j, None]) & kept[:, :j]).any(axis=1)
         # chosen links first, then the nearest of the others
         order = np.argsort(np.where(kept, 0, np.where(c >= 0, 1, 2)), axis=1, kind="stable")[:, :LINKS]
-        links[a : a + 4096, : order.shape[1]] = np.take_along_axis(c, order, axis=1)
-    source, place = np.nonzero(links[:, :LINKS] >= 0)
-    target = links[source, place]
-    # reverse links that the target doesn't have yet, the most similar first
-    have = np.concatenate([source.astype(np.int64) * n + target])
-    back = target.astype(np.int64) * n + source
-    new = ~np.isin(back, have)
-    source, target = source[new], target[new]
-    closeness = np.einsum("ij,ij->i", x[source], x[target]) if len(source) < 2_000_000 else -place[new]
-    order = np.lexsort((source, -closeness, target))
-    source, target = source[order], target[order]
-    rank = np.arange(len(target)) - np.searchsorted(target, target)
-    keep = rank < REVERSE
-    links[target[keep], LINKS + rank[keep]] = source[keep]
+        links[a : a + 2048, : order.shape[1]] = np.take_along_axis(c, order, axis=1)
+        closeness[a : a + 2048, : order.shape[1]] = np.take_along_axis(s, order, axis=1)
+    # reverse links that the target doesn't have yet, the most similar first; a bounded piece of targets at a time
+    source, target = np.repeat(np.arange(n, dtype=np.int32), LINKS), links[:, :LINKS].ravel()
+    order = np.argsort(target, kind="stable")
+    source, target, closeness = source[order], target[order], closeness.ravel()[order]
+    for a in range(0, n, 16_384):
+        at = slice(*np.searchsorted(target, [a, a + 16_384]))
+        t, o, v = target[at], source[at], closeness[at]
+        new = ~(links[t, :LINKS] == o[:, None]).any(axis=1)
+        t, o, v = t[new], o[new], v[new]
+        by = np.lexsort((o, -v, t))
+        t, o = t[by], o[by]
+        rank = np.arange(len(t)) - np.searchsorted(t, t)
+        keep = rank < REVERSE
+        links[t[keep], LINKS + rank[keep]] = o[keep]
     return links
 
 

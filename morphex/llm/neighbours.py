@@ -20,24 +20,24 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, release
 from . import hnsw
-from .vectors import matrix, unit
+from .vectors import matrix, unit, unit32
 
 #: Rows that the centroids and the number of searched cells are fitted on, at least and for every cell; every row is indexed and searched.
 SAMPLE_ROWS = 20_000
 SAMPLE_CELL_ROWS = 64
 #: Wanted rows of a cell, and the most rows of a shard.
-CELL_ROWS = 65_536
-SHARD_ROWS = 131_072
-LEAST_CELLS, MOST_CELLS = 4, 4096
+CELL_ROWS = 131_072
+SHARD_ROWS = 163_840
+LEAST_CELLS, MOST_CELLS = 3, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
 ROUTE_RECALL = 0.96
 #: Queries that one task answers, and how many of them at once.
 QUERY_ROWS = 131_072
 SEARCH_ROWS = 32_768
-#: The searched shards are taken in so many turns, which bounds the copies of vectors that are under way at once.
-ROUNDS = 2
+#: The searched shards are taken in turns, so that about this many copies of every vector are under way at once.
+COPIES_AT_ONCE = 1
 #: Length of the candidate list of a search, and candidates besides the k best whose cosines are computed exactly.
-EF = 32
+EF = 48
 SPARE = 4
 #: Up to so many rows are one cell.
 SMALL_ROWS = 4096
@@ -46,7 +46,7 @@ COPIES = 64
 
 #: Parts of a cell that a shard number has room for.
 _PARTS = 1 << 20
-_SHARD_SCHEMA = "shard long, rows binary, row_ids binary, kth binary, links array<binary>, below array<binary>, near binary, cosine binary, target_ends binary, targets binary"
+_SHARD_SCHEMA = "shard long, rows binary, row_ids binary, links array<binary>, below array<binary>, near binary, cosine binary, target_ends binary, targets binary"
 _PAIR_SCHEMA = "a long, b long, cosine double"
 
 
@@ -101,7 +101,7 @@ def _cell_sizes(centroids: np.ndarray):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                cell, n = np.unique(_nearest_cells(unit(matrix(batch.column("v"))).astype(np.float32), centroids, 1), return_counts=True)
+                cell, n = np.unique(_nearest_cells(unit32(matrix(batch.column("v"))), centroids, 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n)], names=["cell", "n"])
 
     return run
@@ -114,7 +114,7 @@ def _placer(centroids: np.ndarray, probes: int, parts: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = _nearest_cells(unit(matrix(batch.column("v"))).astype(np.float32), centroids, probes).astype(np.int64)
+            cells = _nearest_cells(unit32(matrix(batch.column("v"))), centroids, probes).astype(np.int64)
             own = cells[:, 0] * _PARTS + batch.column("row_id").to_numpy() % parts[cells[:, 0]]
             many = parts[cells.ravel()]
             first = np.cumsum(many) - many
@@ -146,7 +146,7 @@ def _index_shard(k: int):
     def run(table: pa.Table) -> pa.Table:
         raw, ids = matrix(table.column("v")), table.column("row_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        graph, near, _, placed = hnsw.build(unit(raw[order]).astype(np.float32))
+        graph, near, _, placed = hnsw.build(unit32(raw[order]))
         order = order[placed]
         raw, ids = raw[order], ids[order]
         near = near[:, : k + SPARE]  # best first; exact cosines decide among a few more than are wanted
@@ -157,15 +157,13 @@ def _index_shard(k: int):
         cosine[keep] = _exact(raw, a[keep], raw, b[keep])
         cosine = cosine.reshape(n, width)
         best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        kth = np.take_along_axis(cosine, best[:, -1:], axis=1).ravel()
         targets = table.column("targets").combine_chunks().take(pa.array(order))
         return pa.table(
             {
                 "shard": table.column("shard").slice(0, 1),
                 "rows": [raw.tobytes()],
                 "row_ids": [ids.tobytes()],
-                "kth": [kth.tobytes()],
-                "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
+                                "links": pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary())),
                 "below": pa.array([[x.astype(np.int64).tobytes() for x in graph.below]], pa.list_(pa.binary())),
                 "near": [np.take_along_axis(near, best, axis=1).tobytes()],
                 "cosine": [np.take_along_axis(cosine, best, axis=1).tobytes()],
@@ -177,10 +175,15 @@ def _index_shard(k: int):
     return run
 
 
+def _last_cosines(row: dict) -> np.ndarray:
+    """Of every row of a shard the cosine of its k-th neighbour there."""
+    return np.frombuffer(row["cosine"], np.float64).reshape(len(row["row_ids"]) // 8, -1)[:, -1]
+
+
 def _load(row: dict, dims: int) -> tuple[hnsw.Graph, np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(row["rows"], np.float32).reshape(-1, dims)
-    graph = hnsw.Graph(unit(raw).astype(np.float32), [np.frombuffer(x, np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
-    return graph, raw, np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["kth"], np.float64)
+    graph = hnsw.Graph(unit32(raw), [np.frombuffer(x, np.int32).reshape(-1, hnsw.LINKS + hnsw.REVERSE) for x in row["links"]], [np.frombuffer(x, np.int64) for x in row["below"]])
+    return graph, raw, np.frombuffer(row["row_ids"], np.int64), _last_cosines(row)
 
 
 def _own_results(k: int, dims: int):
@@ -208,21 +211,21 @@ def _best_of(group: np.ndarray, value: np.ndarray, of: np.ndarray, k: int) -> np
     return out
 
 
-def _turn(shard):
-    """Turn in which a shard is searched, of a column as of an array: cell and part number by ROUNDS."""
+def _turn(shard, turns: int):
+    """Turn in which a shard is searched, of a column as of an array."""
     cell = F.shiftright(shard, 20) if isinstance(shard, Column) else shard >> 20
-    return (cell + shard % _PARTS) % ROUNDS
+    return (cell + shard % _PARTS) % turns
 
 
-def _queries(dims: int, turn: int):
+def _queries(dims: int, turn: int, turns: int):
     """(shard, row_id, v, kth): the rows of a shard as queries to the other shards that they are searched in and that are in turn."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                raw, ids, kth = np.frombuffer(row["rows"], np.float32).reshape(-1, dims), np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["kth"], np.float64)
+                raw, ids, kth = np.frombuffer(row["rows"], np.float32).reshape(-1, dims), np.frombuffer(row["row_ids"], np.int64), _last_cosines(row)
                 ends, targets = np.frombuffer(row["target_ends"], np.int64), np.frombuffer(row["targets"], np.int64)
-                due = np.flatnonzero(_turn(targets) == turn)
+                due = np.flatnonzero(_turn(targets, turns) == turn)
                 of, targets = np.searchsorted(ends, due, side="right"), targets[due]
                 for a in range(0, len(targets), 20_000):
                     r = of[a : a + 20_000]
@@ -250,7 +253,7 @@ def _search_shard(k: int, dims: int, ef: int):
 def _search_rows(graph: hnsw.Graph, raw: np.ndarray, ids: np.ndarray, kth: np.ndarray, queries: pa.Table, k: int, ef: int) -> tuple[np.ndarray, ...]:
     """(a, b, cosine): b is near a; a is a query that b improves, or a row of the shard that the query b improves."""
     q, q_ids, q_kth = matrix(queries.column("v")), queries.column("row_id").to_numpy(), queries.column("kth").to_numpy()
-    found, sim = graph.search(unit(q).astype(np.float32), ef, q_kth)
+    found, sim = graph.search(unit32(q), ef, q_kth)
     near, slack = found >= 0, 1e-5
     better = near & (sim >= q_kth[:, None] - slack)
     serves = near & (sim >= kth[np.maximum(found, 0)] - slack)
@@ -314,6 +317,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     cells = int(min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL_ROWS)))) if total > SMALL_ROWS else 1
     drawn = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(max(SAMPLE_ROWS, SAMPLE_CELL_ROWS * cells)).select("v")
     sample = unit(np.array([r.v for r in drawn.toLocalIterator()], np.float32)).astype(np.float32)
+    del drawn  # what still refers to the rows keeps their files
     centroids = fit_centroids(sample, cells)
     probes = fit_probes(sample, centroids, k)
     # counts of cells decide into how many shards each is split; at most MOST_CELLS numbers
@@ -334,11 +338,12 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
         for x, n in asked.items():
             most[x // _PARTS] = max(most[x // _PARTS], -(-n // QUERY_ROWS))
         tasks = F.array(*(F.lit(int(x)).cast("long") for x in most))[F.shiftright("shard", 20).cast("int")]  # at most MOST_CELLS numbers
-        for turn in range(ROUNDS):
-            now = _turn(F.col("shard")) == turn
-            queries = index.select("rows", "row_ids", "kth", "target_ends", "targets").mapInArrow(_queries(dims, turn), "shard long, row_id long, v array<float>, kth double")
+        turns = max(1, -(-sum(asked.values()) // (COPIES_AT_ONCE * total)))
+        for turn in range(turns):
+            now = _turn(F.col("shard"), turns) == turn
+            queries = index.select("rows", "row_ids", "cosine", "target_ends", "targets").mapInArrow(_queries(dims, turn, turns), "shard long, row_id long, v array<float>, kth double")
             queries = queries.withColumn("task", F.pmod(F.xxhash64("row_id"), tasks))
-            part = index.where(now).select("shard", "rows", "row_ids", "kth", "links", "below", F.explode(F.sequence(F.lit(0).cast("long"), tasks.cast("long") - 1)).alias("task"))
+            part = index.where(now).select("shard", "rows", "row_ids", "cosine", "links", "below", F.explode(F.sequence(F.lit(0).cast("long"), tasks.cast("long") - 1)).alias("task"))
             found = materialise(part.groupBy("shard", "task").cogroup(queries.groupBy("shard", "task")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
             pairs = pairs.unionByName(found)
             del queries, part, found

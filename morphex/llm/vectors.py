@@ -47,3 +47,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     y = x.astype(np.float64)
     y /= np.abs(y).max(axis=1, keepdims=True)
     return y / np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
+
+
+def unit32(x: np.ndarray) -> np.ndarray:
+    """``unit`` in single precision, a bounded piece at a time."""
+    out = np.empty(x.shape, np.float32)
+    for a in range(0, len(x), 16_384):
+        out[a : a + 16_384] = unit(x[a : a + 16_384])
+    return out
