@@ -5,13 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-#: A side is broadcast only when its measured row count is at most this.
-BROADCAST_ROWS = 100_000
+from pyspark.sql.utils import is_remote
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -33,22 +32,38 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
 
-    ``spark.checkpoint.dir`` of the session is used where set. Only where neither it nor a checkpoint
-    folder is set (tests, one machine) a temporary folder is chosen.
+    ``spark.checkpoint.dir`` of the session is used where set. Only on one machine (tests) a temporary folder is chosen
+    where neither it nor a checkpoint folder is set; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="morphex-"))
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="morphex-")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared folder, for files that are written and read again."""
+    return f"{spark.sparkContext.getCheckpointDir() or _shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nothing refers to any more.
 
     Spark does so when the driver's JVM collects garbage, which a large driver heap may put off until the disks are full.
+    A remote session has no such JVM at hand and is left alone.
     """
-    for _ in range(2):  # the JVM learns of dropped Python references only after the first round
+    if is_remote():
+        return
+    for _ in range(3):  # the JVM learns of dropped Python references only after the first round
         gc.collect()
+        spark.range(1).collect()  # schedulers and listeners hold what ran last until something else has run
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
 
@@ -57,11 +72,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for ``df`` when its measured row count ``rows`` is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def term(column: Column | str) -> Column:
     """Value without surrounding spaces and tabs; null when blank."""
     c = F.col(column) if isinstance(column, str) else column
