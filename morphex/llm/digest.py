@@ -194,20 +194,21 @@ def certify(df: DataFrame, keys: list[str], value: str, estimates: DataFrame) ->
     """``estimates`` + rank_error: by a counting pass over ``df``, the distance of prob from the estimate's true ranks.
 
     An estimate lies at every rank between the share of values below it and the share of values not above it; rank_error is how
-    far prob lies outside. Estimates of the keys with most rows (a bounded number) are broadcast to the rows; the rows of
-    the other keys meet theirs by key, at most ``hot_threshold`` rows in a group.
+    far prob lies outside. Estimates of the keys with most rows (a bounded number) are broadcast to the rows, which stay where
+    they are; only the rows of other keys are sent to theirs, at most ``hot_threshold`` rows in a group.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value") & (F.abs("_value") < float("inf")))
     per_key = materialise(estimates.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("prob", "estimate"))).alias("_at")))
     limit = hot_threshold(per_key.agg(F.sum("n")).first()[0] or 0)
     null_safe = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
 
-    def counted(right: DataFrame) -> DataFrame:
-        met = rows.join(right, null_safe(rows, right), "inner").select(*(rows[k] for k in keys), "_value", "_at", "n")
+    def counted(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.join(right, null_safe(left, right), "inner").select(*(left[k] for k in keys), "_value", "_at", "n")
         at = met.select(*keys, "n", "_value", F.explode("_at").alias("_e"))
         c = at.groupBy(*keys, "n", F.col("_e.prob").alias("prob"), F.col("_e.estimate").alias("estimate")).agg(
             F.sum((F.col("_value") < F.col("_e.estimate")).cast("long")).alias("_below"), F.sum((F.col("_value") <= F.col("_e.estimate")).cast("long")).alias("_upto")
         )
         return c.select(*keys, "n", "prob", "estimate", F.greatest(F.lit(0.0), F.col("_below") / F.col("n") - F.col("prob"), F.col("prob") - F.col("_upto") / F.col("n")).alias("rank_error"))
 
-    return counted(F.broadcast(per_key.where(F.col("n") > limit))).unionByName(counted(per_key.where(F.col("n") <= limit)))
+    hot = F.broadcast(per_key.where(F.col("n") > limit))
+    return counted(rows, hot).unionByName(counted(rows.join(hot, null_safe(rows, hot), "left_anti"), per_key.where(F.col("n") <= limit)))

@@ -24,12 +24,12 @@ LINKS = 16
 REVERSE = 8
 WIDTH = 4  # vectors expanded at one step of a search
 #: A search follows what lies less than SLACK below the similarity wanted; its first steps are always taken.
-SLACK = 0.15
+SLACK = 0.2
 FIRST_STEPS = 2
 BLOCK_FLOATS = 6_000_000
-#: Up to so many rows all pairs are compared; above, a row with those that hang below this share of the next layer's vectors.
+#: Up to so many rows all pairs are compared; above, a row with those that hang below the HANGING * sqrt(m) nearest of the next layer's m vectors.
 ALL_PAIRS = 4096
-HANGING_SHARE = 0.16
+HANGING = 5
 #: Vectors of the next layer whose rows give the first lists, and pairs held before lists are renewed.
 BESIDE = 12
 HELD_PAIRS = 500_000
@@ -104,11 +104,11 @@ def _keep_best(near: np.ndarray, sim: np.ndarray, row: np.ndarray, other: np.nda
         near[touched + a], sim[touched + a] = np.take_along_axis(i, best, axis=1), np.take_along_axis(v, best, axis=1)
 
 
-def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Like ``nearest_lists``, from the rows that hang below the nearest vectors of the layer above.
 
     ``entries``: the vectors of that layer; ``home``: the one of them that each row hangs below, rows sorted by it. A row is compared with
-    all rows below the ``share`` of the entries nearest to it, and what is found serves both rows of a pair.
+    all rows below the entries nearest to it, and what is found serves both rows of a pair.
     """
     n, m = len(x), len(entries)
     start = np.searchsorted(home, np.arange(m + 1))
@@ -132,7 +132,7 @@ def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarr
             near[mine, :k], sim[mine, :k] = there[best], np.take_along_axis(s, best, axis=1)
     near[sim < -2] = -1
     visits = np.empty((m, -(-n // 8)), np.uint8)
-    few = max(BESIDE, min(m, int(np.ceil(share * m))))
+    few = min(m, max(BESIDE, int(np.ceil(HANGING * np.sqrt(m)))))
     for a in range(0, n, 4096):
         s = x[a : a + 4096] @ entries.T
         visits[:, a // 8 : -(-min(a + 4096, n) // 8)] = np.packbits((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T, axis=1)
@@ -212,7 +212,7 @@ class Graph:
     links: list[np.ndarray]
     below: list[np.ndarray]
 
-    def search(self, queries: np.ndarray, ef: int, wanted: np.ndarray | None = None, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, ef: int, wanted: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(indices, similarities), best first, of about the ``ef`` most similar rows of each unit query; -1 fills up.
 
         ``wanted``: similarity below which a query's results are of no use; it stops when what it could follow next
@@ -265,20 +265,23 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
     seen = np.zeros(m * n, bool)
     pool = np.full((m, ef), _FREE, np.int64)
     limit = (_ONE - np.floor(np.clip(wanted - SLACK, -1, 1) * _ONE).astype(np.int64)) << 32 | (_DONE - 1)
+    kind = np.int32 if m * n < 2**31 else np.int64
     step = 0
-    owner, place = np.repeat(np.arange(m, dtype=np.int64), start.shape[1]), start.ravel().astype(np.int64)
+    owner, place = np.repeat(np.arange(m, dtype=kind), start.shape[1]), start.ravel()
     while len(owner):
-        pair = (owner * n + place)[place >= 0]
+        pair = (owner * kind(n) + place.astype(kind))[place >= 0]
         pair = pair[~seen[pair]]
-        pair.sort()
-        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         if not len(pair):
             break
+        pair.sort()
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])]
         seen[pair] = True
-        owner, place = np.divmod(pair, n)
+        owner = pair // kind(n)
+        place = pair - owner * kind(n)
         sim = np.einsum("ij,ij->i", x[place if rows is None else rows[place]], q[owner])
         code = (_ONE - np.rint(sim.astype(np.float64) * _ONE).astype(np.int64)) << 32 | place
-        touched, first, count = np.unique(owner, return_index=True, return_counts=True)
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        touched, count = owner[first], np.diff(np.append(first, len(owner)))
         more = np.full((len(touched), count.max()), _FREE, np.int64)
         more[np.repeat(np.arange(len(touched)), count), np.arange(len(owner)) - np.repeat(first, count)] = code
         merged = np.concatenate([pool[touched], more], axis=1)
@@ -294,13 +297,13 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
         merged[r, c] |= _DONE
         pool[touched] = merged
         out = links[chosen]
-        owner, place = np.repeat(touched[r], out.shape[1]), out.ravel().astype(np.int64)
+        owner, place = np.repeat(touched[r], out.shape[1]), out.ravel()
     free = pool == _FREE
     return np.where(free, -1, pool & (_DONE - 1)).astype(np.int32), np.where(free, -2.0, (_ONE - (pool >> 32)) / _ONE).astype(np.float32)
 
 
 def candidate_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return nearest_lists(x, count) if len(x) <= ALL_PAIRS else hanging_lists(x, count, entries, home, HANGING_SHARE)
+    return nearest_lists(x, count) if len(x) <= ALL_PAIRS else hanging_lists(x, count, entries, home)
 
 
 def build(x: np.ndarray, seed: int = 7) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,10 +1,12 @@
 """Mixing sources to target weights: which documents, how often, and in which order.
 
-A mix is a sequence of blocks of equally many tokens. By Pfair scheduling block i of a source with share w is released
+A mix is a sequence of blocks of BLOCK tokens. By Pfair scheduling block i of a source with share w is released
 at i / w and due at (i + 1) / w; at each step the released block that is due first is taken. At every point of
 the sequence each source then lags or leads its share by less than a block. A source's documents follow each
 other in a fixed pseudo-random order, as many times as its share demands, and belong to the block in which they
-begin. The number of blocks is bounded, whatever the size of the data.
+begin. A long mix is cut into frames of about FRAME_BLOCKS blocks, in which every source has its share rounded so that
+it never strays a block at a frame's end; frames are scheduled by the tasks that place documents, each on its own, so
+the driver holds no schedule and across frames a source strays by less than two blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,9 @@ from pyspark.sql import types as T
 
 from ..operators.ranks import with_positions
 
-#: Most blocks of a mix, and the least tokens of a block.
-MOST_BLOCKS = 20_000
-LEAST_BLOCK = 512
+#: Tokens of a block, whatever the size of the data, and about how many blocks a frame has.
+BLOCK = 512
+FRAME_BLOCKS = 20_000
 #: Sources of a mix are counted out on the driver; more than this is an error.
 MOST_SOURCES = 10_000
 
@@ -53,6 +56,46 @@ def schedule(blocks: list[int], shares: list[float]) -> list[tuple[int, int]]:
     return order
 
 
+@lru_cache(maxsize=256)
+def frame_places(quotas: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Place in its frame of every block of each source, with so many blocks of each."""
+    places = tuple(np.zeros(q, np.int64) for q in quotas)
+    for at, (s, i) in enumerate(schedule(list(quotas), [float(q) for q in quotas])):
+        places[s][i] = at
+    return places
+
+
+@lru_cache(maxsize=4096)
+def _begun(frame: int, frames: int, blocks: tuple[int, ...]) -> tuple[int, ...]:
+    """Blocks of each source before ``frame``: its share rounded up or down, so that they sum to the rounded whole.
+
+    A source with a block in every frame may be rounded either way and never falls back; the sparse ones are rounded on their own.
+    """
+    done = [frame * n // frames if n >= frames else (2 * frame * n + frames) // (2 * frames) for n in blocks]
+    extra = (2 * frame * sum(blocks) + frames) // (2 * frames) - sum(done)
+    up = sorted((s for s, n in enumerate(blocks) if n >= frames and frame * n % frames), key=lambda s: (-(frame * blocks[s] % frames), s))
+    for s in up[: max(0, extra)]:
+        done[s] += 1
+    return tuple(done)
+
+
+def slots_of(source: int, block: np.ndarray, blocks: tuple[int, ...]) -> np.ndarray:
+    """Place in the whole mix of blocks of a source; ``blocks``: how many blocks each source has."""
+    if not len(block):
+        return np.zeros(0, np.int64)
+    frames = max(1, round(sum(blocks) / FRAME_BLOCKS))
+    low = max(0, int(block.min()) * frames // blocks[source] - 2)
+    high = min(frames, int(block.max()) * frames // blocks[source] + 3)
+    bounds = [_begun(f, frames, blocks)[source] for f in range(low, high + 1)]
+    frame = low + np.searchsorted(bounds, block, side="right") - 1
+    out = np.empty(len(block), np.int64)
+    for f in np.unique(frame).tolist():
+        before, after = _begun(f, frames, blocks), _begun(f + 1, frames, blocks)
+        at = np.flatnonzero(frame == f)
+        out[at] = sum(before) + frame_places(tuple(b - a for a, b in zip(before, after)))[source][block[at] - before[source]]
+    return out
+
+
 def plan_mix(available: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> dict[str, int]:
     """Tokens wanted from each source.
 
@@ -84,14 +127,14 @@ def plan_mix(available: dict[str, int], targets: list[tuple[str, float, int]], t
     return {s: int(v + 0.5) for s, v in want.items() if v >= 0.5}
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: int | str | None = None, doc_id: str = "doc_id", source: str = "source", size: str = "n_tokens", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares) of every mix in ``targets`` (mix_name, source, target_share, max_repeats).
 
     chosen: (mix_name, slot, position, doc_id, source, repeat, n_tokens); order by slot, then position. repeat counts from 0
     and stays below max_repeats. shares: (mix_name, source, target_share, max_repeats, available_tokens, n_documents, n_tokens,
     actual_share, most_repeats). A source's last document is the one with which it comes nearest to what the plan wants, so it misses
     that by at most half a document; within the mix a source lags or leads by less than a block and a document. Documents without source or tokens are no
-    candidates; a source that is listed but has no documents contributes nothing and its row says so. Repeated target
+    candidates; ``total`` "available" stands for all tokens of the mix's sources; a source that is listed but has no documents contributes nothing and its row says so. Repeated target
     rows with different values are an error.
     """
     spark = documents.sparkSession
@@ -105,36 +148,32 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, doc_
     placed = with_positions(rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["source"], ["_h", "doc_id"], size="n_tokens")
     available = {r.source: r.n for r in placed.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}  # at most one row per wanted source
 
-    plans, slots = [], {}
+    plans, blocks = [], {}
     for name in sorted({g.mix_name for g in goals}):
         own = sorted((g for g in goals if g.mix_name == name), key=lambda g: g.source)
-        want = plan_mix(available, [(g.source, g.target_share, g.max_repeats) for g in own], total)
+        size_of_mix = sum(available.get(g.source, 0) for g in own) if total == "available" else total
+        want = plan_mix(available, [(g.source, g.target_share, g.max_repeats) for g in own], size_of_mix)
         if not want:
             continue
-        block = max(LEAST_BLOCK, -(-sum(want.values()) // MOST_BLOCKS))
         sources = sorted(want)
-        # documents that begin before the wanted amount may lie in one more block
-        order = schedule([-(-want[s] // block) for s in sources], [want[s] for s in sources])
-        for at, (s, i) in enumerate(order):
-            slots.setdefault((name, sources[s]), {})[i] = at
-        plans += [(name, s, want[s], block, g.max_repeats, available[s]) for s in sources for g in own if g.source == s]
-    schema = "mix_name string, source string, want long, block long, max_repeats int, available long"
+        blocks[name] = tuple(-(-want[s] // BLOCK) for s in sources)
+        plans += [(name, i, s, want[s], g.max_repeats, available[s]) for i, s in enumerate(sources) for g in own if g.source == s]
+    schema = "mix_name string, number int, source string, want long, max_repeats int, available long"
     plan = F.broadcast(spark.createDataFrame(plans, schema))  # at most MOST_SOURCES rows
-    table = {k: np.array([v[i] for i in range(len(v))], np.int64) for k, v in slots.items()}  # at most MOST_BLOCKS numbers a mix
 
     begins = F.col("offset") + F.col("repeat") * F.col("available")
     copies = placed.join(plan, "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1))).where((begins < F.col("want")) & ((begins == 0) | (begins * 2 + F.col("n_tokens") <= F.col("want") * 2)))
-    copies = copies.select("mix_name", "source", "doc_id", "n_tokens", F.col("repeat").cast("int").alias("repeat"), begins.alias("begins"), "block")
+    copies = copies.select("mix_name", "source", "doc_id", "n_tokens", F.col("repeat").cast("int").alias("repeat"), begins.alias("begins"), "number")
 
     def slot(batches):
         for batch in batches:
-            i = (batch.column("begins").to_numpy() // batch.column("block").to_numpy()).astype(np.int64)
+            i, number = batch.column("begins").to_numpy() // BLOCK, batch.column("number").to_numpy()
+            name = batch.column("mix_name").dictionary_encode()
+            key = name.indices.to_numpy().astype(np.int64) << 32 | number
             out = np.zeros(len(i), np.int64)
-            key = pa.array([f"{a}\x00{b}" for a, b in zip(batch.column("mix_name").to_pylist(), batch.column("source").to_pylist())]).dictionary_encode()
-            code = key.indices.to_numpy()
-            for n, k in enumerate(key.dictionary.to_pylist()):
-                at = code == n
-                out[at] = table[tuple(k.split("\x00"))][i[at]]
+            for k in np.unique(key).tolist():
+                at = np.flatnonzero(key == k)
+                out[at] = slots_of(k & 0xFFFFFFFF, i[at], blocks[name.dictionary[k >> 32].as_py()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("mix_name", "source", "doc_id", "n_tokens", "repeat", "begins")), pa.array(out)], names=["mix_name", "source", "doc_id", "n_tokens", "repeat", "position", "slot"])
 
     kinds = T.StructType([*(copies.schema[c] for c in ("mix_name", "source", "doc_id", "n_tokens", "repeat")), T.StructField("position", T.LongType()), T.StructField("slot", T.LongType())])

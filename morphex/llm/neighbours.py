@@ -22,7 +22,7 @@ from ..runtime import materialise, release
 from . import hnsw
 from .vectors import matrix, unit, unit32
 
-#: Rows that the centroids and the number of searched cells are fitted on, at least and for every cell; every row is indexed and searched.
+#: Rows, drawn by a hash, that the centroids and the number of searched cells are fitted on, in all or for every cell, whichever is more (twice as many in small tables); every row is indexed and searched.
 SAMPLE_ROWS = 20_000
 SAMPLE_CELL_ROWS = 64
 #: Wanted rows of a cell, and the most rows of a shard.
@@ -30,7 +30,7 @@ CELL_ROWS = 131_072
 SHARD_ROWS = 163_840
 LEAST_CELLS, MOST_CELLS = 3, 4096
 #: Share of the sample's true neighbours that must lie in the searched cells.
-ROUTE_RECALL = 0.96
+ROUTE_RECALL = 0.97
 #: Queries that one task answers, and how many of them at once.
 QUERY_ROWS = 131_072
 SEARCH_ROWS = 32_768
@@ -315,9 +315,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
         copied_ids = member.select("row_id")
 
     cells = int(min(MOST_CELLS, max(LEAST_CELLS, -(-total // CELL_ROWS)))) if total > SMALL_ROWS else 1
-    drawn = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(max(SAMPLE_ROWS, SAMPLE_CELL_ROWS * cells)).select("v")
-    sample = unit(np.array([r.v for r in drawn.toLocalIterator()], np.float32)).astype(np.float32)
-    del drawn  # what still refers to the rows keeps their files
+    every = max(1, total // max(SAMPLE_ROWS, SAMPLE_CELL_ROWS * cells))  # so at most twice as many come
+    sample = unit32(np.array([r.v for r in rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(every)) == 0).select("v").collect()], np.float32).reshape(-1, dims))
     centroids = fit_centroids(sample, cells)
     probes = fit_probes(sample, centroids, k)
     # counts of cells decide into how many shards each is split; at most MOST_CELLS numbers

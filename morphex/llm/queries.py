@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, read_table, term
 from .clusters import assign_clusters, describe_clusters, isolated_groups
-from .digest import certify, digest_percentiles, digests, merge_digests
+from .digest import DELTA, certify, digest_percentiles, digests, merge_digests
 from .mixing import mix
 from .neighbours import measured_recall, nearest_neighbours
 from .packing import pack, pack_report
@@ -59,6 +60,13 @@ def p3_label_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _certified(labelled_values(spark, d), "label")
 
 
+def p3_label_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the certified rank error of every label's percentile keeps the digest's bound."""
+    found = p3_label_percentiles(spark, d)
+    bound = F.lit(math.pi / DELTA) * F.sqrt(F.col("prob") * (1 - F.col("prob"))) + 1 / F.col("n")
+    return found.select("label", "n", "prob", (F.col("rank_error") <= bound).alias("within_bound"))
+
+
 def p3_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return _certified(labelled_values(spark, d), "day")
 
@@ -125,6 +133,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(materialise(token_counts(spark, d)), read_table(spark, d, "mix_targets"))[1]
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The shares where each mix is to be as large as all its sources together: small sources fall short, the report says by how much."""
+    return mix(materialise(token_counts(spark, d)), read_table(spark, d, "mix_targets"), total="available")[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_documents(read_table(spark, d, "documents")).select("doc_id")
 
@@ -137,7 +150,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(read_table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_label_percentiles": p3_label_percentiles, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p7_packed": p7_packed, "p7_report": p7_report, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p2_recall": p2_recall, "p3_label_percentiles": p3_label_percentiles, "p3_label_bounds": p3_label_bounds, "p3_day_percentiles": p3_day_percentiles, "p3_merged_days": p3_merged_days, "p4_found": p4_found, "p4_clusters": p4_clusters, "p4_values": p4_values, "p6_found": p6_found, "p6_terms": p6_terms, "p7_packed": p7_packed, "p7_report": p7_report, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p8_whole": p8_whole, "p9_found": p9_found, "p9_messages": p9_messages, "p9_clean": p9_clean}
 
 _FREQUENCIES = r"""
 WITH rows_ AS (
@@ -154,7 +167,21 @@ WITH rows_ AS (
 )
 """
 
+_USABLE = """
+WITH latest AS (SELECT id, arg_max(v, (coalesce(epoch_us(seen), -9223372036854775807), v)) AS v FROM (SELECT id, extracted_at AS seen, [{dims}] AS v FROM specimen_vectors WHERE regexp_matches(id, '\\S')) GROUP BY id),
+usable AS (SELECT id, v, list_transform(v::DOUBLE[], lambda y: y / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS u FROM latest
+  WHERE len(list_filter(v, lambda y: y IS NOT NULL AND isfinite(y))) = {n} AND len(list_filter(v, lambda y: y <> 0)) > 0),
+pairs AS (SELECT a.id AS id, b.id AS neighbour, list_dot_product(a.u, b.u) AS c FROM usable a JOIN usable b ON a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC) AS r FROM pairs)
+""".format(dims=", ".join(f"dim_{i}" for i in range(64)), n=64)
+_LABELLED = _USABLE + r""", labels AS (SELECT DISTINCT image AS id, regexp_replace(label, '^[ \t]+|[ \t]+$', '', 'g') AS label FROM figs WHERE image IS NOT NULL AND regexp_matches(label, '\S'))
+"""
+
 SQL = {
+    "p2_found": _USABLE + "SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM ranked WHERE r <= 5 AND c >= 0.9",
+    "p4_found": _USABLE + """, near AS (SELECT id, list(neighbour) AS others FROM pairs WHERE c >= 0.9 GROUP BY 1), sets AS (SELECT id, list_sort(list_append(others, id)) AS members FROM near)
+SELECT members[1] AS group_id, id FROM (SELECT *, count(*) OVER (PARTITION BY members) AS alike FROM sets) WHERE len(members) >= 3 AND alike = len(members)""",
+    "p3_label_bounds": _LABELLED + "SELECT label, count(*) AS n, prob, true AS within_bound FROM usable JOIN labels USING (id), (VALUES (0.05::DOUBLE), (0.25), (0.5), (0.75), (0.95)) p(prob) GROUP BY label, prob",
     "p6_terms": _FREQUENCIES + "SELECT field_name, term, n_rows, n_images, n_samples, mark FROM marked",
     "p6_found": _FREQUENCIES + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
 }

@@ -9,6 +9,13 @@ message. Sentences that speak of a placeholder or quote an error are told apart
 
 from __future__ import annotations
 
+import re
+import re._constants as parts
+import re._parser as parser
+from functools import reduce
+from itertools import groupby
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +61,12 @@ _TWO_SIDED = "|".join(
 _SPOKEN_OF = r"(?:\btemplates?\b|\bmarker\b|\bplaceholders?\b|naming rule|\bthe printer fills\b|platzhalter|vorlage|\bmod[èe]le\b|\ble champ\b|\bplantilla\b|\bla marca\b|模板|占位符|变量)"
 
 #: Words of the usual filler.
-_LATIN = r"\b(?:lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|tempor|incididunt|labore|magna|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|occaecat|cupidatat|proident|culpa|officia|deserunt|mollit|laborum)\b"
+_LATIN_WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed tempor incididunt labore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur occaecat cupidatat proident culpa officia deserunt mollit laborum".split()
+_LATIN = r"\b(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in ws)})" for c, ws in groupby(sorted(_LATIN_WORDS), lambda w: w[0])) + r")\b"
 _MASH = r"(?<![\p{L}\p{N}])(?:asdf|qwer(?:ty)?|uiop|zxcv|hjkl|jkl;|sdfg?dfgh|dfgh|sdfg|sdfgdfgh|aaaa|bbbb|cccc|dddd)(?![\p{L}\p{N}])"
+_HAN = r"[\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]"
+#: A word, two words or a few Chinese characters over and over.
+_REPEATED = rf"(?<!\p{{L}})(?:(\p{{L}}{{2,12}}+)(?: \1){{4,}}|(\p{{L}}{{2,12}}+ \p{{L}}{{2,12}}+)(?: \2){{4,}})|({_HAN}{{2,8}})\3{{2,}}"
 _COPY = r"(?:(?:a |an |the |your |some |real )*(?:placeholder(?: paragraph| text)?|dummy (?:copy|text)|body text|sample text|example (?:content|text)|filler text|caption|description|text)\b)"
 
 #: Filler, from the start of a message.
@@ -69,7 +80,6 @@ FILLER = [
     r"^(?:texte de remplissage|texte d.exemple|faux texte|texte . remplacer|ceci est un texte|votre description ici|votre texte ici|ici viendra)",
     r"^(?:示例(?:内容|文字|文本)|此处为(?:示例|占位)|这里是(?:占位|示例)|占位(?:文本|文字|内容)|正文待补充|内容待补充|待补充|请在此(?:输入|填写)|在此(?:输入|填写))",
     r"^(?:test 0 ?){2}",
-    r"示例内容示例内容",
 ]
 #: Demands for scripts, cookies or another browser, from the start of a message.
 _SCRIPT = r"(?:java ?script|scripts?|(?:active |client.?side )?(?:scripting|scripts)|cookies?|js)\b"
@@ -113,22 +123,38 @@ SHARED = [
 ]
 
 
-def messages_of(text: Column) -> Column:
-    """Array of the distinct messages of a text: lines and sentences with masked, folded content."""
-    t = F.regexp_replace(text, r"(?i)&lt;", "<")
-    for code, char in (("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.regexp_replace(t, f"(?i){code}", char)
-    t = F.regexp_replace(t, _TAG, "\n")
-    t = F.regexp_replace(t, r"(?<![\p{IsLatin}\p{N}_.])(?:TK|NNN|XX\.XX|XX(?=[ ]?(?:µm|Âµm|mm|cm|m|%|°)))(?![\p{IsLatin}\p{N}_])", "‹unfilled›")
-    t = F.regexp_replace(t, r"(?i)\b(?:https?://|www\.)[^\s<>\"]++|\b[\w.+\-]++@[\w\-]++\.[\w.\-]++|\b\d{1,3}(?:\.\d{1,3}){3}\b", "‹address›")
-    t = F.regexp_replace(t, r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "‹date›")
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<=request id )[0-9a-f]++", "0")
-    t = F.regexp_replace(t, r"\p{N}++(?:[.,:]\p{N}++)*+", "0")
-    t = F.regexp_replace(t, _TWO_SIDED, "‹unfilled›")
-    parts = F.split(t, r"[\r\n\x{2028}\x{85}]+|(?<=[.!?…]['\"”’)]{0,2})\s+|(?<=[。!?])\s*")
-    tidy = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"^(?:[\s\-•#>=·–—\"'“”‘’«»]|[*|](?!\|)(?<!\*\|))++|(?:[\s\-\"'“”‘’«»]|(?<!\|)[*|](?!\*))++$", ""))
-    return F.array_distinct(F.filter(tidy, lambda p: F.length(p) >= 3))
+_EDGES = r"^(?:[\s\-•#>=·–—\"'“”‘’«»]|[*|](?!\|)(?<!\*\|))++|(?:[\s\-\"'“”‘’«»]|(?<!\|)[*|](?!\*))++$"
+
+
+def _where_found(df: DataFrame, marks: tuple[str, ...], pattern: str, by: str) -> DataFrame:
+    """``regexp_replace`` in column _t, of the texts that hold one of ``marks``; every match contains one."""
+    return df.withColumn("_t", F.when(reduce(or_, (F.contains("_t", F.lit(m)) for m in marks)), F.regexp_replace("_t", pattern, by)).otherwise(F.col("_t")))
+
+
+def with_messages(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with a row for each distinct message of its text: lines and sentences with masked, folded content.
+
+    What a pattern must contain is looked for first, so that most texts go through few of the patterns.
+    """
+    df = df.withColumn("_t", text)
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        df = _where_found(df, ("&",), f"(?i){code}", char)
+    df = _where_found(df, ("<",), _TAG, "\n")
+    df = _where_found(df, ("TK", "NNN", "XX"), r"(?<![\p{IsLatin}\p{N}_.])(?:TK|NNN|XX\.XX|XX(?=[ ]?(?:µm|Âµm|mm|cm|m|%|°)))(?![\p{IsLatin}\p{N}_])", "‹unfilled›")
+    df = df.withColumn("_t", F.lower("_t"))
+    df = _where_found(df, ("://", "www.", "@"), r"\b(?:https?://|www\.)[^\s<>\"]++|\b[\w.+\-]++@[\w\-]++\.[\w.\-]++", "‹address›")
+    df = _where_found(df, ("request id ",), r"(?<=request id )[0-9a-f]++", "0")
+    df = df.withColumn("_t", F.regexp_replace("_t", r"\p{N}++(?:[.,:]\p{N}++)*+", "0"))
+    df = _where_found(df, ("0-0-0", "0/0/0"), r"0-0-0(?:[t ]0)?|0/0/0", "‹date›")
+    df = _where_found(df, ("{", "<", "[", "*"), _TWO_SIDED, "‹unfilled›")
+    df = df.withColumn("_t", F.regexp_replace("_t", r"[.!?…]['\"”’)]{0,2}(?=\s)|[。!?]", "$0\n"))
+    df = _where_found(df, ("  ", "\t", "\v", "\f"), r"[^\S\r\n]{2,}|[\t\x0B\f]", " ")
+    # asterisks and bars at the edges go too, unless they belong to a merge tag
+    edge = lambda p: reduce(or_, (f(p, F.lit(c)) for f in (F.startswith, F.endswith) for c in "*|"))
+    trimmed = F.transform(F.split("_t", r"[\r\n\x{2028}\x{85}]+"), lambda p: F.rtrim(F.ltrim(p, F.lit(" -•#>=·–—\"'“”‘’«»")), F.lit(" -\"'“”‘’«»")))
+    tidy = F.transform(trimmed, lambda p: F.when(edge(p), F.regexp_replace(p, _EDGES, "")).otherwise(p))
+    # the generator comes last: what is computed after it would be computed again for every use that a filter makes of it
+    return df.withColumn("message", F.explode(F.array_distinct(F.filter(tidy, lambda p: F.length(p) >= 3)))).drop("_t")
 
 
 def _any(patterns) -> str:
@@ -140,21 +166,138 @@ def _from_start(patterns) -> str:
     return "^" + _any(patterns)
 
 
+#: Length of the beginnings that are looked up, and the most alternatives of one place of a beginning.
+_BEGIN = 4
+_PLACE = 12
+
+
+def _plain(pattern: str) -> str:
+    """The pattern as Python reads it, matching no less: classes of letters or digits become word characters."""
+    return re.sub(r"\\p\{\w+\}", r"\\w", pattern)
+
+
+def _beginnings(items, before: set[str]) -> tuple[set[str], set[str]]:
+    """(beginnings that end here, beginnings that may go on) of what the parsed items match after each of ``before``."""
+    ended: set[str] = set()
+    for op, value in items:
+        if op in (parts.AT, parts.ASSERT, parts.ASSERT_NOT):
+            continue
+        ended |= {b for b in before if len(b) >= _BEGIN}
+        before = {b for b in before if len(b) < _BEGIN}
+        if not before:
+            break
+        if op is parts.LITERAL:
+            before = {b + chr(value) for b in before}
+        elif op is parts.IN and len(value) <= _PLACE and all(o is parts.LITERAL for o, _ in value):
+            before = {b + chr(c) for b in before for _, c in value}
+        elif op is parts.BRANCH:
+            each = [_beginnings(branch, before) for branch in value[1]]
+            ended, before = ended.union(*(e for e, _ in each)), set().union(*(o for _, o in each))
+        elif op is parts.SUBPATTERN:
+            e, before = _beginnings(value[3], before)
+            ended |= e
+        elif op in (parts.MAX_REPEAT, parts.MIN_REPEAT, parts.POSSESSIVE_REPEAT):
+            low, high, inner = value
+            reached = before if low == 0 else set()
+            for n in range(1, min(high, _BEGIN + 1) + 1):
+                e, before = _beginnings(inner, before)
+                ended |= e
+                if n >= low:
+                    reached = reached | before
+            before = reached | (before if low > _BEGIN else set())
+        else:  # any other place may hold anything
+            return ended | before, set()
+    return ended, before
+
+
+def _needles(items) -> set[str] | None:
+    """Texts of which every match contains at least one, or None; of several such sets the one whose shortest text is longest."""
+    found: list[set[str]] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        if op is parts.LITERAL:
+            run += chr(value)
+            continue
+        if op in (parts.MAX_REPEAT, parts.POSSESSIVE_REPEAT) and value[0] and len(value[2]) == 1 and value[2][0][0] is parts.LITERAL:
+            found.append({run + chr(value[2][0][1]) * value[0]})
+            run = ""
+            continue
+        if run:
+            found.append({run})
+            run = ""
+        more = None
+        if op is parts.IN and len(value) <= _PLACE and all(o is parts.LITERAL for o, _ in value):
+            more = {chr(c) for _, c in value}
+        elif op is parts.BRANCH:
+            each = [_needles(branch) for branch in value[1]]
+            more = set().union(*each) if all(each) else None
+        elif op is parts.SUBPATTERN:
+            more = _needles(value[3])
+        elif op in (parts.MAX_REPEAT, parts.MIN_REPEAT, parts.POSSESSIVE_REPEAT) and value[0]:
+            more = _needles(value[2])
+        if more:
+            found.append(more)
+    return max(found, key=lambda f: (min(map(len, f)), -len(f))) if found else None
+
+
+def _alternatives(items: list) -> list[list]:
+    """The parsed items as separate alternatives, where they begin with a choice."""
+    at = 1 if items and items[0] == (parts.AT, parts.AT_BEGINNING) else 0
+    op, value = items[at] if len(items) > at else (None, None)
+    if op is parts.SUBPATTERN:
+        op, value = (value[3][0] if len(value[3]) == 1 else (None, None))
+    if op is not parts.BRANCH:
+        return [items]
+    return [x for branch in value[1] for x in _alternatives([*items[:at], *branch, *items[at + 1 :]])]
+
+
+def cue_of(patterns) -> tuple[set[str], set[str]]:
+    """(beginnings, needles): a message that one of ``patterns`` matches begins with one of the former or contains one of the latter."""
+    beginnings: set[str] = set()
+    needles: set[str] = set()
+    for pattern in patterns:
+        for branch in _alternatives(list(parser.parse(_plain(pattern)))):
+            anchored = bool(branch) and branch[0] == (parts.AT, parts.AT_BEGINNING)
+            found = set().union(*_beginnings(branch, {""})) if anchored else {""}
+            inside = _needles(branch)
+            if "" in found and not inside:
+                raise ValueError(f"nothing that every match of {pattern} contains")
+            if min(map(len, found)) >= 3 or not inside or min(map(len, inside)) < 3 and "" not in found:
+                beginnings |= found
+            else:
+                needles |= inside
+    return beginnings, {n for n in needles if not any(m != n and m in n for m in needles)}
+
+
+def _shown(message: Column, patterns) -> Column:
+    """True at least where one of ``patterns`` matches, at the cost of a few look-ups."""
+    beginnings, needles = cue_of(patterns)
+    out = F.lit(False)
+    for n in sorted({len(b) for b in beginnings}):
+        out |= F.substring(message, 1, n).isin(sorted(b for b in beginnings if len(b) == n))
+    return reduce(or_, (F.contains(message, F.lit(n)) for n in sorted(needles)), out)
+
+
+def _repeats_itself(message: Column) -> Column:
+    """Filler made of the usual words, of keys side by side, or of the same over and over."""
+    latin = F.regexp_count(message, F.lit(_LATIN))
+    mash = _shown(message, [_MASH]) & (F.regexp_count(message, F.lit(_MASH)) >= 2)
+    return mash | message.rlike(_REPEATED) | _shown(message, [_LATIN]) & (latin >= 4) & (latin * 2 >= F.regexp_count(message, F.lit(r"[\p{L}]+")))
+
+
 def judge(message: Column, wide: Column) -> Column:
     """Kind of residue that a message is, or null. ``wide``: the message recurs widely."""
-    place = message.rlike(_any(PLACEHOLDERS.values()))
+    anywhere = _any(PLACEHOLDERS.values())
     quoted = F.regexp_replace(message, r"[`'\"“„«][^`'\"”“»]{1,60}[`'\"”“»]", " ")
-    spoken = message.rlike(_SPOKEN_OF) | ~quoted.rlike(_any(PLACEHOLDERS.values())) & message.rlike(r"`")
-    latin = F.regexp_count(message, F.lit(_LATIN))
-    words = F.regexp_count(message, F.lit(r"[\p{L}]+"))
-    filler = (latin >= 4) & (latin * 2 >= words) | (F.regexp_count(message, F.lit(_MASH)) >= 2) | message.rlike(r"(?<![\p{L}])(\p{L}{2,12}(?: \p{L}{2,12})?)(?: \1){4,}") | message.rlike(r"(\p{IsHan}{2,8})\1{2,}") | message.rlike(_from_start(p for p in FILLER if p[0] == "^")) | message.rlike(_any(p for p in FILLER if p[0] != "^"))
-    return (
-        F.when(place & ~spoken, "placeholder")
-        .when(filler, "filler")
-        .when(message.rlike(_from_start(NOTICES)), "script_notice")
-        .when(message.rlike(_from_start(FAILURES)), "failure_message")
-        .when(wide & message.rlike(_from_start(SHARED)), "shared_message")
+    spoken = message.rlike(_SPOKEN_OF) | ~quoted.rlike(anywhere) & message.rlike(r"`")
+    holds = F.when(_shown(message, PLACEHOLDERS.values()), message.rlike(anywhere) & ~spoken)
+    begins = lambda kind, patterns: F.when(message.rlike(_from_start(patterns)), kind)
+    # one look-up for all rules that hold at the beginning: most messages go no further
+    phrase = F.when(
+        _shown(message, [*FILLER, *NOTICES, *FAILURES, *SHARED]),
+        F.coalesce(begins("filler", FILLER), begins("script_notice", NOTICES), begins("failure_message", FAILURES), F.when(wide, begins("shared_message", SHARED))),
     )
+    return F.when(holds, "placeholder").when(_repeats_itself(message), "filler").otherwise(phrase)
 
 
 def judged_messages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -164,7 +307,11 @@ def judged_messages(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     uses = (
         documents.where(F.col(text).isNotNull())
-        .select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(messages_of(F.col(text))).alias("message"))
+        .select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
+    )
+    uses = (
+        with_messages(uses, F.col("text"))
+        .select("doc_id", "source", "message")
         .where(judge(F.col("message"), F.lit(True)).isNotNull())  # what no rule matches never leaves its task
         .withColumn("hash", F.md5("message"))
     )

@@ -63,10 +63,12 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(df: DataFrame, field: str, image: str, sample: str, name: str) -> DataFrame:
-    """(field_name, kind, term, record, weight). Few samples repeat often, so those pairs combine before the sort."""
+    """(field_name, kind, term, record, weight). Few samples repeat often, so those pairs combine before the sort; all rows of a term
+    count there, so rows without an image need no pair of their own.
+    """
     rows = df.select(F.lit(name).alias("field_name"), term(field).alias("term"), F.col(image).alias("image"), F.when(~is_blank(sample), F.col(sample)).alias("sample"))
     termed = rows.where(F.col("term").isNotNull())
-    images = termed.select("field_name", F.lit("image").alias("kind"), "term", F.col("image").alias("record"), F.lit(1).cast("long").alias("weight"))
+    images = termed.where(F.col("image").isNotNull()).select("field_name", F.lit("image").alias("kind"), "term", F.col("image").alias("record"), F.lit(1).cast("long").alias("weight"))
     samples = termed.groupBy("field_name", F.lit("sample").alias("kind"), "term", F.col("sample").alias("record")).agg(F.count(F.lit(1)).alias("weight"))
     return images.unionByName(samples)
 
@@ -92,7 +94,7 @@ def term_frequencies(tables: list[tuple[DataFrame, str, str, str, str]]) -> Data
     runs = ordered.mapInArrow(scan_runs, "field_name string, kind string, term string, rows long, records long")
     pick = lambda kind, what: F.sum(F.when(F.col("kind") == kind, F.col(what)))
     counted = runs.groupBy("field_name", "term").agg(
-        pick("image", "rows").alias("n_rows"), pick("image", "records").alias("n_images"), F.coalesce(pick("sample", "records"), F.lit(0)).alias("n_samples")
+        pick("sample", "rows").alias("n_rows"), F.coalesce(pick("image", "records"), F.lit(0)).alias("n_images"), pick("sample", "records").alias("n_samples")
     )
     terms = counted.join(F.broadcast(_sample_totals(tables)), "field_name", "left")
     mark = F.when(F.col("n_images") < RARE_IMAGES, "rare").when(F.col("n_samples") > F.col("all_samples") * COMMON_SHARE, "common")

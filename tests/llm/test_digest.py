@@ -41,3 +41,20 @@ def test_merging_days_equals_whole_within_bound(spark):
     merged = G.digest_percentiles(G.merge_digests(daily.drop("day"), ["key"]), ["key"], [0.5, 0.9])
     assert all(r.rank_error <= 2 * np.pi / G.DELTA * 0.5 + 1e-3 for r in G.certify(df, ["key"], "value", merged).collect())
     assert G.digest_percentiles(G.digests(df.limit(0), ["key"], "value"), ["key"], [0.5]).count() == 0
+
+
+def test_rows_of_hot_keys_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(G, "hot_threshold", lambda _: 100)
+    rows = [("hot", float(i)) for i in range(900)] + [(f"k{i % 20}", float(i)) for i in range(400)] + [(None, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(4)
+    found = G.digest_percentiles(G.digests(df, ["key"], "value"), ["key"], [0.5])
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = G.certify(df, ["key"], "value", found)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and out.count() == 22 and all(r.rank_error < 0.02 + 1 / r.n for r in out.collect())
+        sent = [p for p in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(key" in p]
+        assert sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
