@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import term
 from .ranks import with_positions
+from .skew import join_by_key
 
 
 def canonical_corrections(rows: DataFrame) -> DataFrame:
@@ -63,33 +64,37 @@ def annotation_summary(assignments: DataFrame, corrections: DataFrame, order: st
 def rename_clusters(assignments: DataFrame, prefix: str = "OTU", member: str = "id") -> DataFrame:
     """``assignments`` + ``name``: prefix_1, prefix_2, ... by falling size, ties by the least member.
 
-    Sizes and least members are one row a cluster; only those are ranked, by range partitions, and rows get their name by
-    a join.
+    Sizes and least members are one row a cluster; only those are ranked, by range partitions. Rows of clusters that hold very
+    many get their name by broadcast, the others by a join. Rows without a cluster have no name.
     """
     sizes = assignments.where(F.col("cluster").isNotNull()).groupBy("cluster").agg((-F.count(F.lit(1))).alias("_n"), F.min(member).alias("_first"))
     ranked = with_positions(sizes.withColumn("_none", F.col("_first").isNull()), [], ["_n", "_none", "_first", "cluster"])
-    named = ranked.withColumn("name", F.concat(F.lit(f"{prefix}_"), (F.col("position") + 1).cast("string")))
-    return assignments.join(named.select("cluster", "name"), "cluster", "left")
+    named = ranked.select("cluster", F.concat(F.lit(f"{prefix}_"), (F.col("position") + 1).cast("string")).alias("name"), (-F.col("_n")).alias("_size"))
+    return join_by_key(assignments, named, "cluster", "_size")
 
 
-def cluster_summary(assignments: DataFrame, by_sample: bool = False, most_members: int = 1_000) -> DataFrame:
-    """(cluster[, sample], n, members): row counts, and the distinct members joined with ; for clusters up to ``most_members`` rows.
+#: Members that one row of a summary lists.
+ROW_MEMBERS = 1_000
 
-    The members of a larger cluster are a table of their own (the assignments), and its ``members`` is null.
+
+def cluster_summary(assignments: DataFrame, by_sample: bool = False, row_members: int = ROW_MEMBERS) -> DataFrame:
+    """(cluster[, sample], n, part, members): row counts, and all distinct members in order, joined with ;.
+
+    A cluster of more than ``row_members`` members goes on in further rows (part 0, 1, ...), so the list is whole
+    and no row or task grows with a cluster. Rows without a cluster count nowhere, null members aren't listed; a cluster
+    without any member has one row with null members.
     """
     by = ["cluster", *(["sample"] if by_sample else [])]
     known = assignments.where(F.col("cluster").isNotNull())
     counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    few = counts.where(F.col("n") <= most_members).select(*(F.col(c).alias(f"_{c}") for c in by))
-    match = F.lit(True)
-    for c in by:
-        match &= known[c].eqNullSafe(few[f"_{c}"])
-    listed = known.join(few, match, "left_semi").groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("id")), ";").alias("members"))
-    listed = listed.select(*(F.col(c).alias(f"_{c}") for c in by), "members")
+    placed = with_positions(known.where(F.col("id").isNotNull()).select(*by, "id").distinct(), by, ["id"])
+    part = F.floor(F.col("position") / row_members).cast("int").alias("part")
+    listed = placed.groupBy(*by, part).agg(F.array_join(F.array_sort(F.collect_list("id")), ";").alias("members"))
+    listed = listed.select(*(F.col(c).alias(f"_{c}") for c in by), "part", "members")
     match = F.lit(True)
     for c in by:
         match &= counts[c].eqNullSafe(listed[f"_{c}"])
-    return counts.join(listed, match, "left").select(*by, "n", "members")
+    return counts.join(listed, match, "left").select(*by, "n", F.coalesce("part", F.lit(0)).alias("part"), "members")
 
 
 def label_conflicts(labels: DataFrame, key: str = "image", label: str = "label") -> DataFrame:
@@ -105,6 +110,6 @@ def labelled_cohort(ids: DataFrame, labels: DataFrame) -> DataFrame:
     return ids.join(single, "id")
 
 
-def corrections_overlay_sources(labels: DataFrame, source: str = "source") -> DataFrame:
+def source_counts(labels: DataFrame, source: str = "source") -> DataFrame:
     """(label, n, <source counts>): rows of each label by source, conditional sums in one pass."""
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(source) == "expert").alias("n_expert"), F.count_if(F.col(source) == "pseudo").alias("n_pseudo"))

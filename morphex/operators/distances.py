@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,46 +28,179 @@ def check_pair_budget(n: int, budget: int = PAIR_BUDGET) -> int:
     return pairs
 
 
-def _block(metric: str, names: list[str]):
-    def run(table: pa.Table) -> pa.Table:
-        one, two = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
-        block = table.column("block").to_numpy()
-        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        dots = v[a] @ v[b].T
-        if metric == "cosine":
-            d = np.clip(1 - dots, 0, 2)
-        else:
-            d = np.sqrt(np.maximum(((v[a] ** 2).sum(axis=1))[:, None] + (v[b] ** 2).sum(axis=1)[None, :] - 2 * dots, 0))
-        r, c = np.triu_indices(len(a), 1) if one == two else (x.ravel() for x in np.indices((len(a), len(b))))
-        left, right = a[r], b[c]
-        order = table.column("order").to_numpy()
-        swap = order[left] > order[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        ids = table.column("id").combine_chunks()
-        return pa.table([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(d[r, c])], names=names)
+def _values(table: pa.Table, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the first block, rows of the second, their distances): every pair of two blocks once, as places in the task's table."""
+    one, two = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
+    block = table.column("block").to_numpy()
+    v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    a, b = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    dots = v[a] @ v[b].T
+    if metric == "cosine":
+        d = np.clip(1 - dots, 0, 2)
+    else:
+        d = np.sqrt(np.maximum(((v[a] ** 2).sum(axis=1))[:, None] + (v[b] ** 2).sum(axis=1)[None, :] - 2 * dots, 0))
+    if "scale" in table.column_names:
+        s = table.column("scale").to_numpy()
+        d = d / np.maximum(np.sqrt(s[a][:, None] * s[b][None, :]), LEAST_SCALE)
+    return a, b, d
 
-    return run
 
+def _each_once(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(len(a), 1) if same else tuple(x.ravel() for x in np.indices((len(a), len(b))))
 
-def pair_distances(vectors: DataFrame, metric: str = "cosine", budget: int = PAIR_BUDGET, unit: bool = True) -> DataFrame:
-    """(i, j, d) with i < j for all pairs of rows of ``vectors`` (id, v).
 
-    Vectors are scaled to length one first (a zero vector stays zero, at cosine distance 1 from all), for both metrics
-    unless ``unit`` is false. Fewer than two rows give no pairs.
-    """
+def id_order(ids: pa.Array) -> np.ndarray:
+    """Rank of each id, in the order in which Spark sorts them."""
+    out = np.empty(len(ids), np.int64)
+    out[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return out
+
+
+def _met(vectors: DataFrame, metric: str, budget: int, unit: bool, more: list[str] | None = None) -> DataFrame:
+    """Rows (id, v, block and ``more``) with the pair of blocks (b1, b2) for which they are needed; every task takes one pair."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     n = vectors.count()
     check_pair_budget(n, budget)
     blocks = max(1, -(-n // BLOCK_ROWS))
     x = unit_vector("v") if unit else doubles("v")
-    rows = vectors.select("id", x.alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("order", F.row_number().over(Window.orderBy("id")))  # the budget keeps n small
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).drop("other")
+    rows = vectors.select("id", x.alias("v"), *(more or [])).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return met.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).drop("other")
+
+
+def pair_distances(vectors: DataFrame, metric: str = "cosine", budget: int = PAIR_BUDGET, unit: bool = True) -> DataFrame:
+    """(i, j, d) with i < j for all pairs of rows of ``vectors`` (id, v).
+
+    Vectors are scaled to length one first (a zero vector stays zero, at cosine distance 1 from all), for both metrics
+    unless ``unit`` is false. Fewer than two rows give no pairs.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, d = _values(table, metric)
+        r, c = _each_once(a, b, table.column("b1")[0].as_py() == table.column("b2")[0].as_py())
+        left, right = a[r], b[c]
+        ids = table.column("id").combine_chunks()
+        order = id_order(ids)
+        swap = order[left] > order[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        return pa.table([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(d[r, c])], names=["i", "j", "d"])
+
     kind = vectors.schema["id"].dataType
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("d", T.DoubleType())])
-    return met.groupBy("b1", "b2").applyInArrow(_block(metric, ["i", "j", "d"]), schema)
+    return _met(vectors, metric, budget, unit).groupBy("b1", "b2").applyInArrow(run, schema)
+
+
+#: Bits of a distance that a first count drops (so 1 024 bins for every doubling), and values that may come to the driver.
+DROPPED_BITS = 42
+FEW_VALUES = 500_000
+LEAST_SCALE = 1e-10
+PERCENTILES = {"median": 0.5, "p01": 0.01, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def _bits(d: np.ndarray) -> np.ndarray:
+    """Integers in the order of the distances, none of which is negative."""
+    return np.ascontiguousarray(d + 0.0).view(np.int64)
+
+
+def cohort_summary(vectors: DataFrame, metric: str = "cosine", unit: bool = True, scale: str | None = None, budget: int = PAIR_BUDGET) -> DataFrame:
+    """``distance_summary`` of all pairs of ``vectors`` (id, v), without a pair leaving its task.
+
+    Tasks send sums and counts of bins, which hold the leading bits of the distances; the bins that hold the wanted ranks are refined by
+    further bits until few enough values are left to be read. ``scale``: a column of local scales by which distances are divided
+    (see ``local_scales``).
+    """
+    spark = vectors.sparkSession
+    rows = vectors.withColumnRenamed(scale, "scale") if scale else vectors
+    met = _met(rows, metric, budget, unit, ["scale"] if scale else None)
+
+    def each(table: pa.Table) -> np.ndarray:
+        a, b, d = _values(table, metric)
+        return d[_each_once(a, b, table.column("b1")[0].as_py() == table.column("b2")[0].as_py())]
+
+    def count(table: pa.Table) -> pa.Table:
+        d = each(table)
+        if not len(d):
+            return pa.table({"bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64()), "s": pa.array([], pa.float64()), "ss": pa.array([], pa.float64())})
+        code = _bits(d) >> DROPPED_BITS
+        bins, at = np.unique(code, return_inverse=True)
+        low, high = np.full(len(bins), np.inf), np.full(len(bins), -np.inf)
+        np.minimum.at(low, at, d)
+        np.maximum.at(high, at, d)
+        return pa.table({"bin": bins, "n": np.bincount(at), "low": low, "high": high, "s": np.bincount(at, d), "ss": np.bincount(at, d * d)})
+
+    counted = met.groupBy("b1", "b2").applyInArrow(count, "bin long, n long, low double, high double, s double, ss double")
+    found = sorted(counted.groupBy("bin").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")), F.min("low").alias("low"), F.max("high").alias("high")).collect())  # a row a bin
+    n = sum(r.n for r in found)
+    names = ["n_pairs", "min", "max", "mean", "std", *PERCENTILES]
+    schema = T.StructType([T.StructField("n_pairs", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])])
+    if not n:
+        return spark.createDataFrame([(0, *([None] * (len(names) - 1)))], schema)
+    mean = sum(r.s for r in found) / n
+    std = float(np.sqrt(max(0.0, sum(r.ss for r in found) / n - mean * mean)))
+    places = {p: (n - 1) * p for p in PERCENTILES.values()}
+    ranks = sorted({int(f(x)) for x in places.values() for f in (np.floor, np.ceil)})
+    values = _at_ranks(met, each, [(r.bin, r.n) for r in found], ranks, DROPPED_BITS)
+    at = lambda x: values[int(np.floor(x))] + (values[int(np.ceil(x))] - values[int(np.floor(x))]) * (x - np.floor(x))
+    row = (n, min(r.low for r in found), max(r.high for r in found), float(mean), std, *(float(at(places[p])) for p in PERCENTILES.values()))
+    return spark.createDataFrame([row], schema)
+
+
+def _at_ranks(met: DataFrame, each, bins: list[tuple[int, int]], ranks: list[int], dropped: int) -> dict[int, float]:
+    """Exact values at the ranks (from 0): ``bins`` (leading bits, count) in order, ``dropped`` bits left open."""
+    ends = np.cumsum([n for _, n in bins])
+    hit = {r: int(np.searchsorted(ends, r, side="right")) for r in ranks}
+    wanted = sorted(set(hit.values()))
+    codes = np.array([bins[i][0] for i in wanted])
+    inside = sum(bins[i][1] for i in wanted)
+    finer = dropped if inside > FEW_VALUES and dropped else 0
+    left = max(0, dropped - 16) if finer else 0
+
+    def run(table: pa.Table) -> pa.Table:
+        d = _bits(each(table))
+        d = d[np.isin(d >> dropped, codes)] >> left
+        code, n = np.unique(d, return_counts=True)
+        return pa.table({"code": code, "n": n})
+
+    got = sorted((r.code, r.n) for r in met.groupBy("b1", "b2").applyInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect())
+    out: dict[int, float] = {}
+    for i in wanted:
+        own = [(c, n) for c, n in got if c >> (dropped - left) == bins[i][0]]
+        before = int(ends[i - 1]) if i else 0
+        local = {r: r - before for r in ranks if hit[r] == i}
+        if left:
+            exact = _at_ranks(met, each, own, sorted(local.values()), left)
+            out |= {r: exact[x] for r, x in local.items()}
+        else:
+            stops = np.cumsum([n for _, n in own])
+            out |= {r: float(np.array([own[int(np.searchsorted(stops, x, side="right"))][0]], np.int64).view(np.float64)[0]) for r, x in local.items()}
+    return out
+
+
+def local_scales(vectors: DataFrame, k: int, metric: str = "cosine", unit: bool = True, budget: int = PAIR_BUDGET) -> DataFrame:
+    """``vectors`` + ``scale``, the distance to the k-th nearest other row; rows with fewer than k others are left out.
+
+    Every task sends the k least distances of each row that it meets: at most k numbers for each block.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, d = _values(table, metric)
+        same = table.column("b1")[0].as_py() == table.column("b2")[0].as_py()
+        if same:
+            np.fill_diagonal(d, np.inf)
+        rows, best = [], []
+        for at, m in ((a, d), *(() if same else ((b, d.T),))):
+            few = min(k, m.shape[1])
+            if few and len(at):
+                rows.append(np.repeat(at, few))
+                best.append(np.partition(m, few - 1, axis=1)[:, :few].ravel())
+        rows, best = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, int), (best, float)))
+        keep = np.isfinite(best)
+        return pa.table({"id": table.column("id").combine_chunks().take(pa.array(rows[keep])), "d": best[keep]})
+
+    near = _met(vectors, metric, budget, unit).groupBy("b1", "b2").applyInArrow(run, T.StructType([vectors.schema["id"], T.StructField("d", T.DoubleType())]))
+    scale = near.groupBy("id").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1)).alias("scale")).where(F.col("scale").isNotNull())
+    return vectors.join(scale, "id")
 
 
 def distance_summary(pairs: DataFrame) -> DataFrame:

@@ -194,8 +194,8 @@ def splitting_optima(metrics: DataFrame, names: list[str], cutoff: str = "cutoff
     return long.withColumn("r", best).where(F.col("r") == 1).select("metric", cutoff, "value")
 
 
-def fine_cutoffs(optima: DataFrame, reach: float = 0.15, step: float = 0.01, cutoff: str = "cutoff") -> DataFrame:
-    """(cutoff): the fine grid around the optima, from the least less ``reach`` to the greatest plus it, 0 at least."""
-    low, high = F.greatest(F.lit(0.0), F.min(cutoff) - reach), F.max(cutoff) + reach
-    grid = optima.agg(F.sequence(F.round(low / step).cast("long"), F.round(high / step).cast("long")).alias("at"))
-    return grid.select(F.explode("at").alias("at")).select(F.round(F.col("at") * step, 6).alias("cutoff"))
+def fine_cutoffs(optima: DataFrame, reach: float = 0.15, step: float = 0.01, least: float = 0.05, most: float = 1.0, cutoff: str = "cutoff") -> DataFrame:
+    """(cutoff): the fine grid around the optima of the coarse stage, from the least less ``reach`` to the greatest plus it, within [least, most]."""
+    low, high = F.greatest(F.lit(least), F.min(cutoff) - reach), F.least(F.lit(most), F.max(cutoff) + reach)
+    grid = optima.agg(low.alias("low"), F.floor((high - low) / step + 1e-6).cast("long").alias("steps"), F.count(cutoff).alias("n")).where(F.col("n") > 0)
+    return grid.select("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))).alias("at")).select(F.round(F.col("low") + F.col("at") * step, 6).alias("cutoff"))

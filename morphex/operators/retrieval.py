@@ -6,11 +6,13 @@ Rankings need all pairs of a cohort, so they start from the budgeted pair table
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .distances import symmetric
+from ..functions.scalars import unit_vector
+from .distances import BLOCK_ROWS, PAIR_BUDGET, check_pair_budget, id_order, symmetric
 
 
 def ranked_neighbours(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -21,6 +23,47 @@ def ranked_neighbours(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("i", "j", "d", rank.alias("rank"), (F.col("label_i") == F.col("label_j")).alias("same"), "label_i", "label_j")
 
 
+def query_ranks(vectors: DataFrame, budget: int = PAIR_BUDGET) -> DataFrame:
+    """(i, first, ap) of every labelled row of ``vectors`` (id, v, label): rank of the nearest row of its label, and its average precision.
+
+    Nulls where no other row has the label. A task ranks the rows of one block against the whole cohort, which the pair budget
+    bounds, and sends one row a query; ties in distance go to the lesser id.
+    """
+    rows = vectors.where(F.col("label").isNotNull())
+    n = rows.count()
+    check_pair_budget(n, budget)
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    rows = rows.select("id", unit_vector("v").alias("v"), F.xxhash64("label").alias("label"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks()
+        table = table.take(pa.array(np.argsort(id_order(ids))))
+        ids, label = table.column("id").combine_chunks(), table.column("label").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        own = np.flatnonzero(table.column("block").to_numpy() == table.column("task")[0].as_py())
+        first, ap = np.zeros(len(own), np.int64), np.zeros(len(own))
+        for a in range(0, len(own), 128):
+            q = own[a : a + 128]
+            d = np.clip(1 - v[q] @ v.T, 0, 2)
+            d[np.arange(len(q)), q] = np.inf  # last, and cut off
+            same = (label[np.argsort(d, axis=1, kind="stable")] == label[q][:, None])[:, :-1]
+            rank = np.arange(1, same.shape[1] + 1)
+            hits = same.sum(axis=1)
+            first[a : a + 128] = np.where(hits > 0, same.argmax(axis=1) + 1, 0)
+            ap[a : a + 128] = (np.cumsum(same, axis=1) / rank * same).sum(axis=1) / np.maximum(hits, 1)
+        none = first == 0
+        return pa.table({"i": ids.take(pa.array(own)), "first": pa.array(first, mask=none), "ap": pa.array(ap, mask=none)})
+
+    everywhere = rows.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return everywhere.groupBy("task").applyInArrow(run, T.StructType([T.StructField("i", vectors.schema["id"].dataType), T.StructField("first", T.LongType()), T.StructField("ap", T.DoubleType())]))
+
+
+def recall_of(ranks: DataFrame, ks: list[int], n: int) -> DataFrame:
+    """``recall_at`` from ``query_ranks``."""
+    one = ranks.select(F.explode(F.array(*(F.lit(k) for k in ks))).alias("k"), "first").groupBy("k").agg(F.avg(F.coalesce((F.col("first") <= F.col("k")).cast("double"), F.lit(0.0))).alias("recall"))
+    return one.select("k", F.when((F.col("k") >= 1) & (F.col("k") <= n - 1), F.col("recall")).alias("recall"))
+
+
 def recall_at(ranked: DataFrame, ks: list[int], n: int) -> DataFrame:
     """(k, recall): share of queries with an equal label among their k nearest; null unless 1 <= k <= n - 1."""
     best = ranked.groupBy("i").agg(F.min(F.when(F.col("same"), F.col("rank"))).alias("first"))

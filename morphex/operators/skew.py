@@ -131,6 +131,22 @@ def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]
     return joined.select(*keys, "n_rows", "n_values", (F.col("n_rows") / F.col("_total")).alias("share"), "quantiles")
 
 
+def join_by_key(rows: DataFrame, side: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has one row for each ``key`` and in ``size`` how many rows have it.
+
+    Rows of the hot keys (at most MAX_HOT) meet theirs by broadcast and stay where they are; the others go by key, and no key
+    among them has more rows than ``hot_threshold``. ``size`` isn't kept; a null key meets nothing, its rows are kept.
+    """
+    side = materialise(side)
+    limit = hot_threshold(side.agg(F.sum(size)).first()[0] or 0)
+    hot, cold = side.where(F.col(size) > limit).drop(size), side.where(F.col(size) <= limit).drop(size)
+    if hot.isEmpty():
+        return rows.join(cold, key, "left")
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return near.unionByName(far)
+
+
 def dominant(profile: DataFrame, least_share: float) -> DataFrame:
     """Keys of ``key_quantiles`` that hold at least ``least_share`` of the rows."""
     return profile.where(F.col("share") >= least_share)

@@ -103,7 +103,9 @@ def merge_table(pairs: DataFrame, ids: list) -> DataFrame:
 
 
 def merges_array(merges: DataFrame) -> np.ndarray:
-    return np.array([[r.a, r.b, r.height, r["size"]] for r in merges.orderBy("step").limit(MOST_TIPS).collect()]).reshape(-1, 4)
+    rows = merges.orderBy("step").limit(MOST_TIPS + 1).collect()
+    check_tips(len(rows))
+    return np.array([[r.a, r.b, r.height, r["size"]] for r in rows]).reshape(-1, 4)
 
 
 def cut(z: np.ndarray, n: int, cutoff: float) -> np.ndarray:
@@ -154,6 +156,19 @@ def clades(z: np.ndarray, n: int) -> list[frozenset[int]]:
     return [c for c in below[n:] if 1 < len(c) < n]
 
 
+def clade_positions(z: np.ndarray, ids: list) -> list[tuple[int, float, float, int]]:
+    """(node, height, y, size) of every merge but the whole tree; y is the middle between its two parts, tips lie at 0, 1, ... in leaf order."""
+    n = len(ids)
+    y = np.zeros(n + len(z))
+    y[leaf_order(z, n)] = np.arange(n)
+    out = []
+    for step, (a, b, height, size) in enumerate(z):
+        y[n + step] = (y[int(a)] + y[int(b)]) / 2
+        if 1 < size < n:
+            out.append((n + step, float(height), float(y[n + step]), int(size)))
+    return out
+
+
 def node_tips(z: np.ndarray, ids: list) -> list[tuple[int, object]]:
     """(node, tip) closure of a merge table, tips included."""
     n, out = len(ids), [[k] for k in range(len(ids))]

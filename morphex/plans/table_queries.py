@@ -99,11 +99,11 @@ def part_names(spark, d):
 
 
 def part_summary(spark, d):
-    return A.cluster_summary(_assigned(spark, d), most_members=20)
+    return A.cluster_summary(_assigned(spark, d))
 
 
 def part_summary_by_sample(spark, d):
-    return A.cluster_summary(_assigned(spark, d), by_sample=True, most_members=5)
+    return A.cluster_summary(_assigned(spark, d), by_sample=True)
 
 
 def lab_conflicts(spark, d):
@@ -259,7 +259,8 @@ def t_monophyly(spark, d):
 
 def _linked(spark, d):
     e = embedded(spark, d).select("id", "v")
-    ids = sorted(r.id for r in e.select("id").collect())  # the pair budget bounds the cohort
+    D.check_pair_budget(e.count())
+    ids = sorted(r.id for r in e.select("id").collect())  # the pair budget, checked before, bounds the cohort
     return T.merge_table(D.pair_distances(e), ids), ids
 
 
@@ -352,8 +353,24 @@ _ASSIGNED = f"a AS (SELECT id, {_TERM.format('cluster')} AS cluster, sample FROM
 _NEW = "n AS (SELECT id, arg_max(cluster, (reviewed_at, cluster)) AS new FROM k WHERE id IS NOT NULL AND cluster IS NOT NULL GROUP BY 1), x AS (SELECT a.*, coalesce(new, cluster) AS now FROM a LEFT JOIN n USING (id))"
 _TREE_SQL = "nodes AS (SELECT * FROM (VALUES (1, 0.5, 'click'), (1, 0.5, 'view'), (1, 0.5, 'purchase'), (2, 0.9, 'deposit'), (3, 0.25, 'click'), (4, 0.4, 'view'), (4, 0.4, 'purchase'), (5, 0.3, 'view'), (6, 0.2, 'purchase'), (7, 0.7, 'login'), (7, 0.7, 'signup'), (7, 0.7, 'logout'), (8, 0.6, 'login'), (9, 0.8, 'signup'), (10, 0.1, 'logout')) v(node, length, tip))"
 
+
+
+#: The kinds of events in the test tables.
+EVENT_TYPES = ['click', 'error', 'purchase', 'signup', 'view']
+
+
+def _members(by: str) -> str:
+    """Whole member lists, a thousand members a row."""
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM m.{c}" for c in by.split(", "))
+    return f"""WITH {_ASSIGNED}, n AS (SELECT {by}, count(*) AS n FROM a WHERE cluster IS NOT NULL GROUP BY ALL), u AS (SELECT DISTINCT {by}, id FROM a WHERE cluster IS NOT NULL AND id IS NOT NULL),
+r AS (SELECT *, ((row_number() OVER (PARTITION BY {by} ORDER BY id) - 1) // 1000)::INT AS part FROM u), m AS (SELECT {by}, part, string_agg(id, ';' ORDER BY id) AS members FROM r GROUP BY ALL)
+SELECT {", ".join("n." + c for c in by.split(", "))}, n.n, coalesce(part, 0) AS part, members FROM n LEFT JOIN m ON {same}"""
+
+
 SQL = {
     "div_table": _diversity(_ITEMS, "(0), (2), (5)"),
+    "div_by_threshold": f"SELECT sample, metric, max(value) FILTER (min_abundance = 0) AS m_0, max(value) FILTER (min_abundance = 2) AS m_2, max(value) FILTER (min_abundance = 5) AS m_5 FROM (UNPIVOT ({_diversity(_ITEMS, '(0), (2), (5)')}) ON {', '.join(V.INDICES)} INTO NAME metric VALUE value) GROUP BY 1, 2",
+    "div_otu_table": "SELECT user_id AS sample, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS \"{t}\"" for t in EVENT_TYPES) + " FROM events GROUP BY 1",
     "div_assignments": _diversity(rf"SELECT sample, cluster, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(sample, '\S') THEN sample END AS sample, {_TERM.format('cluster')} AS cluster FROM assignments) WHERE cluster IS NOT NULL AND sample IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT NULL, {_TERM.format('cluster')}, count(*) FROM assignments WHERE {_TERM.format('cluster')} IS NOT NULL GROUP BY 2", "(0)"),
     "div_from_otu_table": _diversity(_OTU, "(0), (2)"),
     "div_otu_counts": _OTU,
@@ -364,11 +381,12 @@ SQL = {
     "ann_unknown": f"WITH {_ASSIGNED} SELECT DISTINCT id FROM k WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM a WHERE id IS NOT NULL)",
     "ann_invalid": f"WITH {_ASSIGNED} SELECT DISTINCT id, 'missing_id' AS reason FROM k WHERE id IS NULL OR trim(id) = '' UNION ALL SELECT DISTINCT id, 'blank_cluster' FROM k WHERE id IS NOT NULL AND cluster IS NULL UNION ALL SELECT id, 'conflict' FROM k WHERE id IS NOT NULL AND cluster IS NOT NULL GROUP BY 1 HAVING count(DISTINCT cluster) > 1",
     "part_names": f"WITH {_ASSIGNED}, z AS (SELECT cluster, count(*) AS c, min(id) AS f FROM a WHERE cluster IS NOT NULL GROUP BY 1) SELECT cluster, 'OTU_' || row_number() OVER (ORDER BY c DESC, f ASC NULLS LAST, cluster) AS name FROM z",
-    "part_summary": f"WITH {_ASSIGNED} SELECT cluster, count(*) AS n, CASE WHEN count(*) <= 20 THEN coalesce(string_agg(DISTINCT id, ';' ORDER BY id), '') END AS members FROM a WHERE cluster IS NOT NULL GROUP BY 1",
-    "part_summary_by_sample": f"WITH {_ASSIGNED} SELECT cluster, sample, count(*) AS n, CASE WHEN count(*) <= 5 THEN coalesce(string_agg(DISTINCT id, ';' ORDER BY id), '') END AS members FROM a WHERE cluster IS NOT NULL GROUP BY 1, 2",
+    "part_summary": _members("cluster"),
+    "part_summary_by_sample": _members("cluster, sample"),
     "lab_conflicts": f"SELECT image, count(DISTINCT {_TERM.format('label')}) AS n_labels FROM figs WHERE image IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_TERM.format('label')}) > 1",
     "lab_cohort": rf"SELECT image AS id, min({_TERM.format('label')}) AS label FROM figs WHERE image IN (SELECT id FROM specimen_vectors WHERE regexp_matches(id, '\S')) GROUP BY 1 HAVING count(DISTINCT {_TERM.format('label')}) = 1",
     "lab_sample_validity": r"SELECT bool_and(coalesce(regexp_matches(sample, '\S'), false)) AS valid FROM figs",
+    "f_references": r"SELECT DISTINCT image, CASE WHEN image = '' OR image LIKE '/%' OR image LIKE '../%' OR regexp_matches(image, '^[A-Za-z]:') THEN NULL ELSE regexp_replace(regexp_replace(image, '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g') END AS ref FROM figs WHERE image IS NOT NULL",
     "f_scalars": r"SELECT DISTINCT image, CASE WHEN contains(image, '/') THEN split_part(image, '/', 1) ELSE '' END AS sample_of, translate(regexp_replace(trim(label), '\s+', '_', 'g'), '/\', '__') AS name, try_cast(trim(sample) AS DOUBLE) IS NOT NULL AS numeric, CASE WHEN lower(trim(label)) IN ('true', '1', 'yes', 'y') THEN true WHEN lower(trim(label)) IN ('false', '0', 'no', 'n') THEN false END AS flag FROM figs WHERE image IS NOT NULL",
     "f_unique_names": "SELECT n_nationkey, CASE WHEN r = 1 THEN n_regionkey::VARCHAR ELSE n_regionkey || '_' || r END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)",
     "f_cutoffs": "SELECT round((0.05 + i * 0.05)::DOUBLE, 6) AS cutoff FROM range(20) r(i)",
@@ -381,8 +399,8 @@ SQL = {
     "w_runs": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM events) SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event, count(*) AS n FROM r GROUP BY user_id, event_type, g",
     "tr_class_weights": f"WITH c AS (SELECT {_TERM.format('label')} AS label, count(*) AS n FROM figs GROUP BY 1), r AS (SELECT *, (1 - 0.99::DOUBLE) / (1 - pow(0.99::DOUBLE, n)) AS raw FROM c WHERE label IS NOT NULL) SELECT label, n, round(least(raw / (SELECT sum(raw * n) / sum(n) FROM r), 3), 6) AS weight FROM r",
     "tr_deferred": "WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT *, (1 - 0.99::DOUBLE) / (1 - pow(0.99::DOUBLE, n)) AS raw FROM c), w AS (SELECT label, n, least(raw / (SELECT sum(raw * n) / sum(n) FROM r), 3) AS w FROM r), e AS (SELECT epoch::INT AS epoch, label, n, 1 + greatest(0, least(1, (epoch - 10) / 2.0::DOUBLE)) * (w - 1) AS w FROM w, range(20) g(epoch)) SELECT epoch, label, round(w / (sum(w * n) OVER (PARTITION BY epoch) / sum(n) OVER (PARTITION BY epoch)), 6) AS weight FROM e",
-    "tr_cosine": "SELECT s AS step, round(CASE WHEN s < 50 THEN 5e-4::DOUBLE * (s + 1) / 50 ELSE 1e-6::DOUBLE + (5e-4::DOUBLE - 1e-6::DOUBLE) / 2 * (1 + cos(pi() * (s - 50) / 450)) END, 9) AS value FROM range(500) r(s)",
-    "tr_ramp": "SELECT s AS step, round(0.04::DOUBLE + least(1, s / 30) * 0.03::DOUBLE, 9) AS value FROM range(200) r(s)",
+    "tr_cosine": "SELECT s AS step, round(CASE WHEN s < 50 THEN 5e-4::DOUBLE * s / 49 ELSE 1e-6::DOUBLE + (5e-4::DOUBLE - 1e-6::DOUBLE) / 2 * (1 + cos(pi() * (s - 50) / 450)) END, 9) AS value FROM range(500) r(s)",
+    "tr_ramp": "SELECT s AS step, round(0.04::DOUBLE + least(1, s / 29) * 0.03::DOUBLE, 9) AS value FROM range(200) r(s)",
     "tr_rectangles": 'SELECT t::INT AS top, l::INT AS "left", h::INT AS h, w::INT AS w FROM range(1, 15) a(h), range(1, 15) b(w), range(14) c(t), range(14) d(l) WHERE h * w BETWEEN 4 AND 40 AND h / w BETWEEN 0.3::DOUBLE AND 1 / 0.3::DOUBLE AND t + h <= 14 AND l + w <= 14',
     "tr_usage": f"WITH c AS (SELECT {_TERM.format('cluster')} AS k, count(*) AS n FROM assignments GROUP BY 1), p AS (SELECT n / sum(n) OVER () AS p FROM c WHERE k IS NOT NULL) SELECT round(-sum(p * ln(p)), 6) AS entropy, round(exp(-sum(p * ln(p))), 6) AS perplexity, round(count(*) / 8192, 6) AS active_ratio, round(max(p), 6) AS max_occupancy FROM p",
     "tr_winners": "WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_returnflag) AS r FROM lineitem) WHERE r = 1), c AS (SELECT l_returnflag AS label, l_linenumber AS sub_centre, count(*) AS n FROM b GROUP BY 1, 2) SELECT label, sub_centre, n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c",

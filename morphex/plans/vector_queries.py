@@ -32,11 +32,11 @@ def _pairs(spark: SparkSession, d: str, metric: str = "cosine") -> DataFrame:
 
 
 def ds_summary(spark, d):
-    return rounded(D.distance_summary(_pairs(spark, d)))
+    return rounded(D.cohort_summary(embedded(spark, d).select("id", "v")))
 
 
 def ds_euclidean(spark, d):
-    return rounded(D.distance_summary(_pairs(spark, d, "euclidean")))
+    return rounded(D.cohort_summary(embedded(spark, d).select("id", "v"), "euclidean"))
 
 
 def ds_within_label(spark, d):
@@ -48,6 +48,11 @@ def ds_within_cluster(spark, d):
 
 
 def ds_local_scaling(spark, d):
+    return rounded(D.cohort_summary(D.local_scales(embedded(spark, d).select("id", "v"), 7), scale="scale"))
+
+
+def ds_pairs_scaled(spark, d):
+    """The same from the pair table."""
     return rounded(D.distance_summary(D.local_scaling(_pairs(spark, d), 7)))
 
 
@@ -129,11 +134,11 @@ def _ranked(spark, d):
 
 
 def r_recall(spark, d):
-    return rounded(R.recall_at(_ranked(spark, d), KS, read_table(spark, d, "embeddings").count()))
+    return rounded(R.recall_of(R.query_ranks(embedded(spark, d).select("id", "v", "label")), KS, read_table(spark, d, "embeddings").count()))
 
 
 def r_map(spark, d):
-    return rounded(R.mean_average_precision(_ranked(spark, d)))
+    return rounded(R.query_ranks(embedded(spark, d).select("id", "v", "label")).agg(F.avg("ap").alias("mAP")))
 
 
 def _folds(spark, d):
@@ -187,13 +192,30 @@ def pl_counterfactuals(spark, d):
 
 
 def pl_summary(spark, d):
-    return P.summary(_decisions(spark, d))
+    s = P.summary(_decisions(spark, d))
+    return rounded(s.select("candidates", "accepted", "rate", *(F.col(f"{c}_quantiles")[i].alias(f"{c}_{q}") for c in ("score", "gap") for i, q in enumerate(("p50", "p90", "p99")))))
 
 
 def pl_leave_one_out(spark, d):
     return rounded(P.leave_one_out(_seeds(spark, d)))
 
 
+def pl_copies(spark, d):
+    """Candidates with the content and the features of an expert's image, among all embeddings under new names."""
+    sha = F.concat(F.lit("x"), F.col("id"))
+    e = embedded(spark, d)
+    seeds = e.where(_is_seed()).select(F.col("id").alias("ref"), F.col("label").cast("string").alias("label"), "v", sha.alias("sha"))
+    found = P.decide(e.select((F.col("id") + 1_000_000).alias("ref"), "v", sha.alias("sha")), seeds, RULES)
+    return found.where(F.array_contains("reasons", "expert_content_duplicate")).select("ref", "near_duplicate", "accepted")
+
+
+def pl_accepted_copies(spark, d):
+    """What becomes of accepted candidates of equal content."""
+    e = embedded(spark, d).where(~_is_seed()).select(F.col("id").alias("ref"), "v", F.concat(F.lit("y"), F.col("id") % 7).alias("sha"))
+    found = P.decide(e, _seeds(spark, d).withColumn("sha", F.lit("none")), RULES)
+    return found.where("pre_cap").select("ref", "label", "accepted", F.array_join("reasons", ";").alias("reasons"))
+
+
 def pl_round(spark, d):
     return P.pseudo_round(_decisions(spark, d), _seeds(spark, d))
 
@@ -267,6 +289,7 @@ SQL = {
     "ds_within_label": _within("label"),
     "ds_within_cluster": _within("cluster"),
     "ds_local_scaling": _S + f", k AS (SELECT i, d AS sc FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM s) WHERE r = 7), l AS (SELECT p.d / greatest(sqrt(a.sc * b.sc), 1e-10) AS d FROM p JOIN k a ON p.i = a.i JOIN k b ON p.j = b.i) SELECT {_STATS} FROM l",
+    "ds_pairs_scaled": _S + f", k AS (SELECT i, d AS sc FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM s) WHERE r = 7), l AS (SELECT p.d / greatest(sqrt(a.sc * b.sc), 1e-10) AS d FROM p JOIN k a ON p.i = a.i JOIN k b ON p.j = b.i) SELECT {_STATS} FROM l",
     "ds_histogram": _histogram(60, 0.0, 2.0, "d", "true"),
     "ds_log_histogram": _histogram(40, -2.0, 1.0, "log10(d)", "d > 0"),
     "ds_cumulative": _P + " SELECT q / 20 AS share, round((SELECT quantile_cont(d, [0, .05, .1, .15, .2, .25, .3, .35, .4, .45, .5, .55, .6, .65, .7, .75, .8, .85, .9, .95, 1]) FROM p)[q + 1], 6) AS d FROM range(21) r(q)",
@@ -304,5 +327,8 @@ SELECT k::INT AS k, round(avg(a), 6) AS accuracy FROM (SELECT k, f, avg((lj = lt
 , sim AS (SELECT a.id AS ref, a.label AS own, b.label, list_dot_product(a.u, b.u) AS sm, row_number() OVER (PARTITION BY a.id, b.label ORDER BY list_dot_product(a.u, b.u) DESC, b.id) AS r FROM seed a JOIN seed b ON a.id <> b.id JOIN cls c ON a.label = c.label WHERE c.n >= 4)
 , sc AS (SELECT ref, own, label, CASE WHEN any_value(n) >= 3 THEN avg(sm) FILTER (r <= 3) ELSE max(sm) END AS sc FROM sim JOIN cls USING (label) GROUP BY 1, 2, 3)
 SELECT ref, own AS label, round(max(sc) FILTER (label = own), 6) AS within, round(max(sc) FILTER (label <> own), 6) AS other, round(max(sc) FILTER (label = own) - max(sc) FILTER (label <> own), 6) + 0.0 AS gap FROM sc GROUP BY 1, 2""",
+    "pl_summary": _DECIDE + "SELECT count(*) AS candidates, count(*) FILTER (len(reasons) = 0) AS accepted, round(count(*) FILTER (len(reasons) = 0) / count(*), 6) AS rate, " + ", ".join(f"round(quantile_cont({c}, {q / 100}) FILTER (len(reasons) = 0), 6) AS {c}_p{q}" for c in ("score", "gap") for q in (50, 90, 99)) + " FROM done",
+    "pl_copies": "SELECT vec_id + 1000000 AS ref, true AS near_duplicate, false AS accepted FROM embeddings WHERE vec_id % 5 = 0",
+    "pl_accepted_copies": _DECIDE + ", w AS (SELECT ref, label, len(reasons) = 0 AS ok, reasons, min(ref) FILTER (len(reasons) = 0) OVER (PARTITION BY ref % 7) AS first FROM done WHERE pre_cap) SELECT ref, label, ok AND ref = first AS accepted, CASE WHEN ok AND ref <> first THEN 'accepted_content_duplicate' ELSE array_to_string(reasons, ';') END AS reasons FROM w",
     "pl_round": _DECIDE + "SELECT id AS ref, label, 'expert' AS source FROM seed UNION ALL SELECT ref, label, 'pseudo' FROM done WHERE len(reasons) = 0",
 }

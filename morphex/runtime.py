@@ -61,7 +61,7 @@ def release(spark: SparkSession) -> None:
     """
     if is_remote():
         return
-    for _ in range(3):  # the JVM learns of dropped Python references only after the first round
+    for _ in range(6):  # the JVM learns of dropped Python references only after the first round
         gc.collect()
         spark.range(1).collect()  # schedulers and listeners hold what ran last until something else has run
         spark.sparkContext._jvm.System.gc()

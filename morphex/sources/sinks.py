@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ def write_table(df: DataFrame, out: str, form: str = "parquet", overwrite: bool
         raise ValueError(f"unknown format {form}")
     check_output(out, inputs or [])
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
-    w = w.option("header", True).option("escape", '"') if form == "csv" else w
+    # text is written as it is: padding stays
+    w = w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) if form == "csv" else w
     (w.partitionBy(*partition_by) if partition_by else w).format(form).save(out)
 
 
@@ -74,7 +76,9 @@ def append_metrics(df: DataFrame, out: str) -> None:
     spark = df.sparkSession
     try:
         old = spark.read.option("mergeSchema", True).parquet(out).schema
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         old = None
     if old is not None:
         known = {f.name: f.dataType for f in old}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import as_number, sample_of_reference
+from ..operators.ranks import with_positions
 from ..runtime import is_blank, term
 
 #: Permitted endings of image files.
@@ -24,7 +25,7 @@ def header_of(spark: SparkSession, path: str, delim: str = ",") -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, delim: str = ",") -> DataFrame:
-    """Delimited text with a header, all columns text unless ``schema`` says otherwise. gzip, bzip2 and zstd go by suffix."""
+    """Delimited text with a header, all columns text unless ``schema`` says otherwise; an empty field is null. gzip, bzip2 and zstd go by suffix."""
     fields = schema or T.StructType([T.StructField(c, T.StringType()) for c in header_of(spark, path, delim)])
     return spark.read.schema(fields).option("header", True).option("enforceSchema", True).option("sep", delim).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
 
@@ -125,11 +126,12 @@ def parameters_of_log(spark: SparkSession, path: str) -> dict:
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """(ref, sample, length, content) of all images below a folder; ref is relative to it, sample its first step."""
+    """(ref, identity, sample, length, content) of all images below a folder; ref is relative to it, identity the whole path, sample its first step."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(x for e in IMAGE_ENDINGS for x in (e[1:], e[1:].upper())) + "}").load(root)
     base = root.rstrip("/").removeprefix("file:")
-    ref = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(base) + "/", "")
-    return files.select(ref.alias("ref"), sample_of_reference(ref).alias("sample"), "length", "content")
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    ref = F.regexp_replace(path, "^" + re.escape(base) + "/", "")
+    return files.select(ref.alias("ref"), path.alias("identity"), sample_of_reference(ref).alias("sample"), "length", "content")
 
 
 def content_hashes(images: DataFrame) -> DataFrame:
@@ -137,13 +139,39 @@ def content_hashes(images: DataFrame) -> DataFrame:
     return images.select("ref", F.sha2("content", 256).alias("sha256"))
 
 
-def discover_candidates(images: DataFrame, experts: DataFrame, skip: list[str] | None = None) -> DataFrame:
-    """(ref, sha256) of images outside ``skip`` folders whose content no expert image (ref) has."""
-    rows = content_hashes(images)
+def discover_candidates(entries: DataFrame, experts: DataFrame, root: str, skip: list[str] | None = None) -> DataFrame:
+    """(ref, identity, reason) of the files of a scan that no expert file is: candidates have a null reason, rejections theirs.
+
+    ``entries``, ``experts``: (ref, identity); the identity is the resolved path of a file, whatever names lead to it. Entries below a ``skip``
+    folder (by ref) are no part of the scan. ``escapes_image_root``: the file lies outside ``root``;
+    ``duplicate_file_identity``: another name of a file that a lesser ref already gave. A copy of an expert's content under an
+    identity of its own stays a candidate; the decision tells it apart by content. Null identities escape.
+    """
+    rows = entries.select("ref", "identity").distinct()
     for prefix in skip or []:
         rows = rows.where(~F.col("ref").startswith(prefix.rstrip("/") + "/"))
-    known = content_hashes(images.join(experts.select("ref").distinct(), "ref", "left_semi"))
-    return rows.join(known.select("sha256").distinct(), "sha256", "left_anti").join(experts.select("ref").distinct(), "ref", "left_anti").select("ref", "sha256")
+    base = root.rstrip("/")
+    inside = F.coalesce((F.col("identity") == base) | F.startswith("identity", F.lit(base + "/")), F.lit(False))
+    known = rows.where(inside).join(experts.select("identity").distinct(), "identity", "left_anti")
+    first = known.groupBy("identity").agg(F.min("ref").alias("_first"))
+    own = known.join(first, "identity").select("ref", "identity", F.when(F.col("ref") != F.col("_first"), "duplicate_file_identity").alias("reason"))
+    return own.unionByName(rows.where(~inside).select("ref", "identity", F.lit("escapes_image_root").alias("reason")))
+
+
+def run_context(files: DataFrame) -> DataFrame:
+    """(path, run, cutoff, reason) of the raw assignment files among ``files`` (path): the run folder and cutoff that the standard layout implies.
+
+    Standard is run/UPGMA/partitions/tables/partition_cutoff_assignments.csv with run/logs/cluster.log beside it; else reason is
+    ``name``, ``layout`` or ``no_log`` and run and cutoff are null.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    cutoff = F.regexp_extract(name, r"^partition_([0-9]+(?:\.[0-9]+)?)_assignments\.csv$", 1)
+    run = F.regexp_extract("path", r"^(.+)/UPGMA/partitions/tables/[^/]+$", 1)
+    logs = files.where(F.endswith("path", F.lit("/logs/cluster.log"))).select(F.regexp_replace("path", r"/logs/cluster\.log$", "").alias("_run")).distinct().withColumn("_log", F.lit(True))
+    raw = files.where(F.endswith("path", F.lit("_assignments.csv"))).select("path", cutoff.alias("cutoff"), run.alias("run")).distinct()
+    met = raw.join(logs, F.col("run") == F.col("_run"), "left")
+    reason = F.when(F.col("cutoff") == "", "name").when(F.col("run") == "", "layout").when(F.col("_log").isNull(), "no_log")
+    return met.select("path", F.when(reason.isNull(), F.col("run")).alias("run"), F.when(reason.isNull(), F.col("cutoff")).alias("cutoff"), reason.alias("reason"))
 
 
 def resolve_references(wanted: DataFrame, images: DataFrame) -> DataFrame:
@@ -162,7 +190,18 @@ def is_batch(images: DataFrame) -> DataFrame:
     return images.agg(F.coalesce(F.bool_or(F.col("sample") != ""), F.lit(False)).alias("batch"))
 
 
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``: a top-k report."""
+    return df.orderBy(*order).limit(n)
+
+
+def unique_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, position) of the distinct keys, by their first place in ``order``."""
+    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_at"))
+    return with_positions(first, [], ["_at", key]).select(key, "position")
+
+
 def last_rows(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with equal ``key`` the last by ``order``, all columns."""
-    r = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(order)))
-    return df.withColumn("_r", r).where(F.col("_r") == 1).drop("_r")
+    """Of rows with equal ``key`` the last by ``order``, all columns; rows without ``order`` count only where a key has no others."""
+    best = df.groupBy(key).agg(F.max(F.struct(F.col(order).isNotNull().alias("_known"), F.col(order).alias("_order"), F.struct(*(F.col(c).alias(c) for c in df.columns)).alias("_all"))).alias("_row"))  # combines before the shuffle, so a repeated key is no hot one
+    return best.select("_row._all.*")

@@ -47,7 +47,12 @@ def test_images(spark, tmp_path):
     assert {(r.ref, r["sample"]) for r in images.collect()} == {("s1/a.jpg", "s1"), ("s1/b.PNG", "s1"), ("s2/a.jpg", "s2"), ("top.tif", "")}
     wanted = spark.createDataFrame([("s1/a.jpg",), ("x/b.PNG",), ("a.jpg",), ("no.png",)], "ref string")
     assert {(r.ref, r.resolved, r.how) for r in S.resolve_references(wanted, images).collect()} == {("s1/a.jpg", "s1/a.jpg", "path"), ("x/b.PNG", "s1/b.PNG", "name"), ("a.jpg", None, "ambiguous"), ("no.png", None, "missing")}
-    assert {r.ref for r in S.discover_candidates(images, spark.createDataFrame([("s1/a.jpg",)], "ref string")).collect()} == {"s1/b.PNG", "top.tif"}
+    experts = images.where("ref = 's1/a.jpg'").select("ref", "identity")
+    assert {(r.ref, r.reason) for r in S.discover_candidates(images, experts, str(tmp_path)).collect()} == {("s1/b.PNG", None), ("s2/a.jpg", None), ("top.tif", None)}
+    assert {(r.ref, r.reason) for r in S.discover_candidates(images, experts, str(tmp_path / "s2"), ["s1"]).collect()} == {("s2/a.jpg", None), ("top.tif", "escapes_image_root")}
+    named = spark.createDataFrame([("a", "/r/x"), ("b", "/r/x"), ("c", "/r2/y"), ("d", None), ("b", "/r/x")], "ref string, identity string")
+    assert {(r.ref, r.reason) for r in S.discover_candidates(named, experts.limit(0), "/r/").collect()} == {("a", None), ("b", "duplicate_file_identity"), ("c", "escapes_image_root"), ("d", "escapes_image_root")}
+    assert S.discover_candidates(named.limit(0), experts, "/r").count() == 0
     assert S.is_batch(images).first().batch
 
 
@@ -93,3 +98,27 @@ def test_stream_assignment(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "src"))
     assign_stream(spark, str(tmp_path / "src"), "id string, v array<double>", centroids, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_run_layout(spark):
+    paths = ["x/r/UPGMA/partitions/tables/partition_0.5_assignments.csv", "x/r/logs/cluster.log", "UPGMA/partitions/tables/partition_0.5_assignments.csv", "x/r/UPGMA/partitions/tables/partition_5._assignments.csv"]
+    got = {r.path: (r.run, r.cutoff, r.reason) for r in S.run_context(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {paths[0]: ("x/r", "0.5", None), paths[2]: (None, None, "layout"), paths[3]: (None, None, "name")}
+
+
+def test_first_last_and_unique_rows(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", None, "z"), ("a", None, "w"), ("b", None, "z"), (None, 2, "n")], "k string, o int, v string")
+    assert {(r.k, r.o, r.v) for r in S.last_rows(df, "k", "o").collect()} == {("a", 3, "y"), ("b", None, "z"), (None, 2, "n")}
+    assert [(r.k, r.position) for r in S.unique_in_order(df, "k", "o").orderBy("position").collect()] == [("b", 0), ("a", 1)]
+    assert [r.o for r in S.first_rows(df.where("o IS NOT NULL"), [F.desc("o")], 2).collect()] == [3, 2]
+    assert S.last_rows(df.limit(0), "k", "o").count() == 0
+
+
+def test_metric_log_keeps_types_and_reports_other_errors(spark, tmp_path):
+    out = str(tmp_path / "m")
+    K.append_metrics(spark.createDataFrame([(1, 0.5)], "epoch int, loss double"), out)
+    with pytest.raises(ValueError, match="loss"):
+        K.append_metrics(spark.createDataFrame([(2, "x")], "epoch int, loss string"), out)
+    K.append_json(spark.createDataFrame([(1,)], "a int"), str(tmp_path / "j"))
+    K.write_newick(spark.createDataFrame([("(a,b);",)], "newick string"), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).first().value == "(a,b);" and spark.read.json(str(tmp_path / "j")).count() == 1
