@@ -46,7 +46,7 @@ PLACEHOLDERS = {
     "underscores": rf"(?<![\p{{IsLatin}}\p{{N}}_])__{_NAME}__(?!_)",
     "single_brace": rf"(?<![\p{{IsLatin}}\p{{N}}])\{{(?!otu_?0)(?:{_NAME}|0)\}}",
     "asks": rf"[\[<【«‹]\s*{_ASK}(?![\p{{Ll}}])[^\[\]<>【】»›]*+[\]>】»›]",
-    "mark": r"‹unfilled›",
+    "mark": r"⟦unfilled⟧",
     "three_x": r"(?<![\p{IsLatin}\p{N}])(?:(?:x{3,12}|n{3,8}|tbd)(?![\p{IsLatin}\p{N}])|todo:)|\?{2,}\.\?{2,}|\?{4,}",
 }
 
@@ -140,13 +140,13 @@ def with_messages(df: DataFrame, text: Column) -> DataFrame:
     for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         df = _where_found(df, ("&",), f"(?i){code}", char)
     df = _where_found(df, ("<",), _TAG, "\n")
-    df = _where_found(df, ("TK", "NNN", "XX"), r"(?<![\p{IsLatin}\p{N}_.])(?:TK|NNN|XX\.XX|XX(?=[ ]?(?:µm|Âµm|mm|cm|m|%|°)))(?![\p{IsLatin}\p{N}_])", "‹unfilled›")
+    df = _where_found(df, ("TK", "NNN", "XX"), r"(?<![\p{IsLatin}\p{N}_.])(?:TK|NNN|XX\.XX|XX(?=[ ]?(?:µm|Âµm|mm|cm|m|%|°)))(?![\p{IsLatin}\p{N}_])", "⟦unfilled⟧")
     df = df.withColumn("_t", F.lower("_t"))
-    df = _where_found(df, ("://", "www.", "@"), r"\b(?:https?://|www\.)[^\s<>\"]++|\b[\w.+\-]++@[\w\-]++\.[\w.\-]++", "‹address›")
+    df = _where_found(df, ("://", "www.", "@"), r"\b(?:https?://|www\.)[^\s<>\"]++|\b[\w.+\-]++@[\w\-]++\.[\w.\-]++", "⟦address⟧")
     df = _where_found(df, ("request id ",), r"(?<=request id )[0-9a-f]++", "0")
     df = df.withColumn("_t", F.regexp_replace("_t", r"\p{N}++(?:[.,:]\p{N}++)*+", "0"))
-    df = _where_found(df, ("0-0-0", "0/0/0"), r"0-0-0(?:[t ]0)?|0/0/0", "‹date›")
-    df = _where_found(df, ("{", "<", "[", "*"), _TWO_SIDED, "‹unfilled›")
+    df = _where_found(df, ("0-0-0", "0/0/0"), r"0-0-0(?:[t ]0)?|0/0/0", "⟦date⟧")
+    df = _where_found(df, ("{", "<", "[", "*"), _TWO_SIDED, "⟦unfilled⟧")
     df = df.withColumn("_t", F.regexp_replace("_t", r"[.!?…]['\"”’)]{0,2}(?=\s)|[。!?]", "$0\n"))
     df = _where_found(df, ("  ", "\t", "\v", "\f"), r"[^\S\r\n]{2,}|[\t\x0B\f]", " ")
     # asterisks and bars at the edges go too, unless they belong to a merge tag
@@ -211,7 +211,7 @@ def _beginnings(items, before: set[str]) -> tuple[set[str], set[str]]:
 
 
 def _needles(items) -> set[str] | None:
-    """Texts of which every match contains at least one, or None; of several such sets the one whose shortest text is longest."""
+    """Texts of which every match contains at least one, or None; of several such sets the smallest whose texts have three characters or more, else the smallest."""
     found: list[set[str]] = []
     run = ""
     for op, value in [*items, (None, None)]:
@@ -237,7 +237,8 @@ def _needles(items) -> set[str] | None:
             more = _needles(value[2])
         if more:
             found.append(more)
-    return max(found, key=lambda f: (min(map(len, f)), -len(f))) if found else None
+    # of equals the last, since sentences end in rarer marks than they begin with
+    return max(reversed(found), key=lambda f: (min(map(len, f)) >= 3, -len(f), min(map(len, f)))) if found else None
 
 
 def _alternatives(items: list) -> list[list]:
@@ -282,7 +283,7 @@ def _repeats_itself(message: Column) -> Column:
     """Filler made of the usual words, of keys side by side, or of the same over and over."""
     latin = F.regexp_count(message, F.lit(_LATIN))
     mash = _shown(message, [_MASH]) & (F.regexp_count(message, F.lit(_MASH)) >= 2)
-    return mash | message.rlike(_REPEATED) | _shown(message, [_LATIN]) & (latin >= 4) & (latin * 2 >= F.regexp_count(message, F.lit(r"[\p{L}]+")))
+    return mash | message.rlike(_REPEATED) | (latin >= 4) & (latin * 2 >= F.regexp_count(message, F.lit(r"[\p{L}]+")))
 
 
 def judge(message: Column, wide: Column) -> Column:
