@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import os
-import re
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import bind, is_blank
+
 #: A norm below this doesn't scale a vector.
 LEAST_NORM = 1e-12
 NEAR_DUPLICATE = 0.999
@@ -164,24 +165,26 @@ def quantile_triple(value: Column) -> Column:
 
 
 def canonical_reference(ref: Column, root: str = "") -> Column:
-    """Lexically normal POSIX reference relative to ``root``; null if it leaves the root."""
-
-    @F.pandas_udf("string")
-    def run(refs: pd.Series) -> pd.Series:
-        def one(r):
-            if r is None or not r.strip():
-                return None
-            path = os.path.normpath(r.replace("\\", "/"))
-            if os.path.isabs(path):
-                base = os.path.normpath(root) if root else None
-                if not base or not (path + "/").startswith(base + "/"):
-                    return None
-                path = os.path.relpath(path, base)
-            return None if path == ".." or path.startswith("../") or re.match("[A-Za-z]:", path) else path
-
-        return refs.map(one, na_action=None)
-
-    return run(ref)
+    """Lexically normal POSIX reference relative to ``root``; null if it leaves the root, is blank or names a drive."""
+    text = F.replace(ref, F.lit("\\"), F.lit("/"))
+    none = F.array().cast("array<string>")
+    absolute = F.startswith(text, F.lit("/"))
+
+    def step(done: Column, s: Column) -> Column:
+        up = F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(F.lit(".."))))
+        return F.when((s == "") | (s == "."), done).when(s == "..", up).otherwise(F.concat(done, F.array(s)))
+
+    steps = F.aggregate(F.split(text, "/"), none, step)
+    base = [x for x in os.path.normpath(root).split("/") if x] if root else []
+    below = F.array(*(F.lit(x) for x in base)) if base else none
+
+    def finish(x: Column) -> Column:
+        inside = F.slice(x, 1, len(base)) == below if base else F.lit(False)
+        rest = F.when(absolute, F.when(inside, F.slice(x, len(base) + 1, F.greatest(F.size(x), F.lit(1))))).otherwise(x)
+        path = F.when(F.size(rest) == 0, F.lit(".")).otherwise(F.array_join(rest, "/"))
+        return F.when(F.coalesce(F.get(rest, F.lit(0)), F.lit("")) != "..", F.when(~F.rlike(path, F.lit("^[A-Za-z]:")), path))
+
+    return F.when(~is_blank(ref), bind(steps, finish))
 
 
 def edge_median(pixels: Column, fallback: tuple[int, int, int] = (124, 116, 104)) -> Column:

@@ -19,6 +19,8 @@ from ..functions.scalars import NEAR_DUPLICATE, SEED_BINS, invalid_vector, quant
 #: Seeds whose vectors may be broadcast.
 MOST_SEEDS = 50_000
 LEAST_CLASS_SEEDS = 3
+#: Seeds compared with everything else at once.
+SEED_BLOCK = 512
 BEST_OF = 3
 
 
@@ -97,22 +99,28 @@ def _seed_pools(seeds: _Seeds, rules: Rules, kind):
     """Per task and seed of an eligible class: its best candidates of this task (a partial top-k)."""
 
     def run(batches):
-        held_r, held_s = [[] for _ in seeds.refs], [np.zeros(0) for _ in seeds.refs]
+        k = rules.neighbours
+        held_r, held_s = np.full((len(seeds.refs), 0), None, object), np.zeros((len(seeds.refs), 0))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column("u").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            refs = batch.column("ref").to_pylist()
-            s = seeds.x @ x.T
-            order = np.array(sorted(range(len(refs)), key=refs.__getitem__))
-            for i in range(len(seeds.refs)):
-                top = order[np.argsort(-s[i, order], kind="stable")[: rules.neighbours]]
-                all_r, all_s = held_r[i] + [refs[j] for j in top], np.concatenate([held_s[i], s[i, top]])
-                best = sorted(range(len(all_r)), key=lambda j: (-all_s[j], all_r[j]))[: rules.neighbours]
-                held_r[i], held_s[i] = [all_r[j] for j in best], all_s[best]
-        seed = [seeds.refs[i] for i in range(len(seeds.refs)) for _ in held_r[i]]
+            refs = np.array(batch.column("ref").to_pylist(), object)
+            order = np.argsort(refs, kind="stable")
+            refs, x = refs[order], x[order]
+            rank = {r: i for i, r in enumerate(sorted({*refs.tolist(), *held_r.ravel().tolist()}))}
+            new_r, new_s = [], []
+            for a in range(0, len(seeds.refs), SEED_BLOCK):  # all seeds of a block at once
+                s = seeds.x[a : a + SEED_BLOCK] @ x.T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                r, v = np.concatenate([held_r[a : a + SEED_BLOCK], refs[top]], axis=1), np.concatenate([held_s[a : a + SEED_BLOCK], np.take_along_axis(s, top, axis=1)], axis=1)
+                best = np.lexsort((np.vectorize(rank.__getitem__, otypes=[np.int64])(r), -v), axis=1)[:, :k]
+                new_r.append(np.take_along_axis(r, best, axis=1))
+                new_s.append(np.take_along_axis(v, best, axis=1))
+            held_r, held_s = np.concatenate(new_r), np.concatenate(new_s)
+        seed = [r for r in seeds.refs for _ in range(held_s.shape[1])]
         if seed:
-            yield pa.RecordBatch.from_arrays([pa.array(seed, kind), pa.array([r for rs in held_r for r in rs], kind), pa.array(np.concatenate(held_s))], names=["seed", "ref", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(seed, kind), pa.array(held_r.ravel().tolist(), kind), pa.array(held_s.ravel())], names=["seed", "ref", "similarity"])
 
     return run
 
@@ -144,12 +152,12 @@ def decide(candidates: DataFrame, seeds: DataFrame, rules: Rules = Rules()) -> D
 
     # the pool of a seed: candidates and seeds of other classes
     pools = good.select("ref", "u").mapInArrow(_seed_pools(s, rules, kind), T.StructType([T.StructField("seed", sql_kind), T.StructField("ref", sql_kind), T.StructField("similarity", T.DoubleType())]))
-    own = s.x @ s.x.T
     rivals = []
-    for i, r in enumerate(s.refs):
-        other = np.flatnonzero(s.of != s.of[i])
-        top = other[np.argsort(-own[i, other], kind="stable")[: rules.neighbours]]
-        rivals += [(r, s.refs[j], float(own[i, j])) for j in top]
+    for a in range(0, len(s.refs), SEED_BLOCK):  # seeds of other classes, a block of seeds at a time
+        own = s.x[a : a + SEED_BLOCK] @ s.x.T
+        own[s.of[a : a + SEED_BLOCK, None] == s.of[None, :]] = -np.inf
+        for i, top in enumerate(np.argsort(-own, axis=1, kind="stable")[:, : rules.neighbours]):
+            rivals += [(s.refs[a + i], s.refs[j], float(own[i, j])) for j in top if own[i, j] > -np.inf]
     if rivals:
         pools = pools.withColumn("rival", F.lit(False)).unionByName(spark.createDataFrame([(*r, True) for r in rivals], pools.withColumn("rival", F.lit(False)).schema))
     else:
@@ -216,12 +224,12 @@ def summary(decisions: DataFrame) -> DataFrame:
 def leave_one_out(seeds: DataFrame) -> DataFrame:
     """(ref, label, within, other, gap) of seeds of classes with four or more: scored by the other seeds."""
     s = _Seeds(_seed_rows(seeds))
-    sim = s.x @ s.x.T
     rows = []
     for i in np.flatnonzero(s.count[s.of] > LEAST_CLASS_SEEDS):
         own = (s.of == s.of[i]) & (np.arange(len(s.of)) != i)
-        within = float(-np.sort(-sim[i, own])[:BEST_OF].mean())
-        others = s.class_scores(sim[i : i + 1])[0]
+        sim = s.x[i : i + 1] @ s.x.T
+        within = float(-np.sort(-sim[0, own])[:BEST_OF].mean())
+        others = s.class_scores(sim)[0]
         others[s.of[i]] = -np.inf
         other = float(others.max()) if len(s.labels) > 1 else None
         rows.append((s.refs[i], s.labels[s.of[i]], within, other, None if other is None else within - other))

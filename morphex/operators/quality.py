@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,42 +59,57 @@ def external_metrics(table: DataFrame) -> DataFrame:
     )
 
 
-def _expected_information(a: np.ndarray, b: np.ndarray) -> float:
-    """Expected mutual information of two partitions with these class sizes under the hypergeometric model."""
-    n = int(a.sum())
-    lg = np.array([math.lgamma(i + 1) for i in range(n + 1)]) if n <= 2_000_000 else None
-    fact = (lambda k: lg[k]) if lg is not None else np.vectorize(lambda k: math.lgamma(k + 1))
-    total = 0.0
-    # equal sizes give equal terms, so distinct pairs of sizes suffice
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    for x, kx in zip(ua, ca):
-        for y, ky in zip(ub, cb):
-            k = np.arange(max(1, x + y - n), min(x, y) + 1)
-            if not len(k):
-                continue
-            log = fact(np.array(x)) + fact(np.array(y)) + fact(np.array(n - x)) + fact(np.array(n - y)) - fact(np.array(n)) - fact(k) - fact(x - k) - fact(y - k) - fact(n - x - y + k)
-            total += kx * ky * float((k / n * (np.log(n) + np.log(k) - np.log(x) - np.log(y)) * np.exp(log)).sum())
-    return total
-
-
-def adjusted_mutual_information(table: DataFrame, most_classes: int = 200_000) -> float | None:
-    """AMI (arithmetic mean) of a contingency table; the margins (one number a class) come to the driver, checked in number."""
-    a = [r.n for r in table.groupBy("true").agg(F.sum("n").alias("n")).limit(most_classes + 1).collect()]
-    b = [r.n for r in table.groupBy("pred").agg(F.sum("n").alias("n")).limit(most_classes + 1).collect()]
-    if max(len(a), len(b)) > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
-    if not a:
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! by a table up to 32 and the asymptotic series above."""
+    n = np.asarray(n, float)
+    z = np.maximum(n, 32.0)
+    series = z * np.log(z) - z + 0.5 * np.log(2 * np.pi * z) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(n < 32, np.array([math.lgamma(i + 1) for i in range(32)])[np.minimum(n, 31).astype(int)], series)
+
+
+#: Different class sizes of one side that go to every task: as many as the root of twice the rows at most.
+MOST_SIZES = 2_000_000
+#: Overlaps summed at once.
+OVERLAPS = 1_000_000
+
+
+def _expected_terms(n: int, sizes: np.ndarray, counts: np.ndarray):
+    """Expected mutual information under the hypergeometric model that classes of equal size add, for rows (size, classes) of the other side."""
+
+    def one(x: int, y: int) -> float:
+        total = 0.0
+        for low in range(max(1, x + y - n), min(x, y) + 1, OVERLAPS):
+            k = np.arange(low, min(low + OVERLAPS, min(x, y) + 1))
+            log = _log_factorial(x) + _log_factorial(y) + _log_factorial(n - x) + _log_factorial(n - y) - _log_factorial(n) - _log_factorial(k) - _log_factorial(x - k) - _log_factorial(y - k) - _log_factorial(n - x - y + k)
+            total += float((k / n * (np.log(n) + np.log(k) - np.log(x) - np.log(y)) * np.exp(log)).sum())
+        return total
+
+    def run(batches):
+        for batch in batches:
+            out = [c * sum(k * one(x, int(y)) for y, k in zip(sizes, counts)) for x, c in zip(batch.column("size").to_pylist(), batch.column("classes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["e"])
+
+    return run
+
+
+def adjusted_mutual_information(table: DataFrame) -> float | None:
+    """AMI (arithmetic mean) of a contingency table. Classes of equal size are counted together; tasks share the sizes of one side and sum their terms."""
+    sizes = lambda side: table.groupBy(side).agg(F.sum("n").alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("classes"))
+    a, b = sizes("true"), sizes("pred").limit(MOST_SIZES + 1).collect()
+    if len(b) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} different class sizes")
+    if not b:
         return None
-    m = external_metrics(table).select("homogeneity", "NMI").first()
-    n = float(sum(a))
-    h = lambda x: -sum(i / n * math.log(i / n) for i in x)
-    ht, hp = h(a), h(b)
-    if len(a) == len(b) == 1 or len(a) == len(b) == n:
+    n = sum(r["size"] * r.classes for r in b)
+    share = F.col("size") / F.lit(float(n))
+    true = a.agg(F.sum(-F.col("classes") * share * F.log(share)).alias("h"), F.sum("classes").alias("k")).first()
+    hp, kp = -sum(r.classes * r["size"] / n * math.log(r["size"] / n) for r in b), sum(r.classes for r in b)
+    if true.k == kp == 1 or true.k == kp == n:
         return 1.0
-    mi = m.NMI * (ht + hp) / 2
-    e = _expected_information(np.array(a), np.array(b))
-    divisor = (ht + hp) / 2 - e
+    mi = external_metrics(table).first().NMI * (true.h + hp) / 2
+    terms = _expected_terms(n, np.array([r["size"] for r in b]), np.array([r.classes for r in b]))
+    e = a.repartition(max(1, min(64, a.count()))).mapInArrow(terms, "e double").agg(F.sum("e")).first()[0]
+    divisor = (true.h + hp) / 2 - e
     return float((mi - e) / (divisor if abs(divisor) > np.finfo(float).eps else math.copysign(np.finfo(float).eps, divisor)))
 
 
