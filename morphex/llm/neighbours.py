@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_threshold
 from ..runtime import materialise, release
 from . import hnsw
 from .vectors import matrix, unit, unit32
@@ -41,6 +42,8 @@ EF = 48
 SPARE = 4
 #: Up to so many rows are one cell.
 SMALL_ROWS = 4096
+#: Size of the vectors from which the files of finished phases are worth waiting for; it changes no result.
+RELEASE_BYTES = 32 << 20
 #: A vector with more copies than this is represented in the index by a few of them.
 COPIES = 64
 
@@ -286,6 +289,13 @@ def copy_groups(rows: DataFrame, k: int) -> DataFrame | None:
     return few.groupBy("v").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).where(F.col("n") > COPIES)
 
 
+def members_of_copies(rows: DataFrame, copies: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``copies`` (v, n, ...) on v. Rows of the largest groups, at most a bounded number, meet theirs by broadcast."""
+    hot = F.broadcast(copies.where(F.col("n") > hot_threshold(total)))
+    cold = copies.where(F.col("n") <= hot_threshold(total))
+    return rows.join(hot, "v").unionByName(rows.join(hot.select("v"), "v", "left_anti").join(cold, "v"))
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosine: float | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): of every row of ``vectors`` (id, v) its ``k`` most similar others, best first.
 
@@ -297,17 +307,18 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     spark = vectors.sparkSession
     rows = materialise(vectors.select("id", "v").withColumn("row_id", F.monotonically_increasing_id()))
     del vectors
-    release(spark)
     total = rows.count()
     first = rows.select("v").first()
     if first is None:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
     dims = len(first.v)
+    drop_files = (lambda: release(spark)) if total * dims * 4 > RELEASE_BYTES else (lambda: None)
+    drop_files()
     copies = copy_groups(rows, k)
     indexed, copied = rows, None
     if copies is not None:
         copies = materialise(copies)
-        member = rows.join(copies, "v")
+        member = members_of_copies(rows, copies, total)
         drop = member.where(~F.array_contains("ids", F.col("id"))).select("row_id")
         indexed = rows.join(drop, "row_id", "left_anti")
         own = F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, k)
@@ -326,7 +337,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
     index = materialise(placed.groupBy("shard").applyInArrow(_index_shard(k), _SHARD_SCHEMA))
     names = materialise(rows.select("row_id", "id"))
     del placed, indexed, rows
-    release(spark)
+    drop_files()
 
     pairs = index.select("row_ids", "near", "cosine").mapInArrow(_own_results(k, dims), _PAIR_SCHEMA)
     if probes > 1 or parts.max() > 1:
@@ -346,7 +357,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, ef: int = EF, least_cosin
             found = materialise(part.groupBy("shard", "task").cogroup(queries.groupBy("shard", "task")).applyInArrow(_search_shard(k, dims, ef), _PAIR_SCHEMA))
             pairs = pairs.unionByName(found)
             del queries, part, found
-            release(spark)
+            drop_files()
     if copied is not None:
         pairs = pairs.join(copied_ids.withColumnRenamed("row_id", "a"), "a", "left_anti")
     # a pair found from both sides has one rank and is kept once, still within the partitioning by a

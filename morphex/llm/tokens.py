@@ -15,14 +15,18 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE = 100_000
 
 
-def encoder(path: str = VOCABULARY):
-    """The byte-level BPE whose ranks are in the file ``path``."""
-    import public_tokenizers
+def encoder(path: str = VOCABULARY, pattern: str | None = None):
+    """The byte-level BPE whose ranks are in the file ``path``; ``pattern`` cuts texts into words, that of the installed vocabulary by default."""
     import tiktoken
 
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(encode, text: str) -> int:
@@ -39,12 +43,12 @@ def count_tokens(encode, text: str) -> int:
     return total
 
 
-def with_tokens(df: DataFrame, text: str = "text", column: str = "n_tokens", vocabulary: str = VOCABULARY) -> DataFrame:
+def with_tokens(df: DataFrame, text: str = "text", column: str = "n_tokens", vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """``df`` without its text, with the number of tokens of the text (0 for null)."""
     kept = [c for c in df.columns if c != text]
 
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary, pattern).encode_ordinary
         for batch in batches:
             counts = [count_tokens(encode, t) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], names=[*kept, column])
