@@ -29,7 +29,7 @@ FIRST_STEPS = 2
 BLOCK_FLOATS = 6_000_000
 #: Up to so many rows all pairs are compared; above, a row with those that hang below the HANGING * sqrt(m) nearest of the next layer's m vectors.
 ALL_PAIRS = 4096
-HANGING = 5
+HANGING = 7
 #: Vectors of the next layer whose rows give the first lists, and pairs held before lists are renewed.
 BESIDE = 12
 HELD_PAIRS = 500_000
