@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import unit_vector
+from ..runtime import materialise
 from .distances import BLOCK_ROWS, PAIR_BUDGET, check_pair_budget, id_order, symmetric
 
 
@@ -145,7 +146,7 @@ def linear_probe(vectors: DataFrame, folded: DataFrame, c: float = 1.0, steps: i
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.join(folded, "id").withColumn("features", array_to_vector(F.col("v").cast("array<double>"))).withColumn("name", F.col("label").cast("string"))
-    rows = StringIndexer(inputCol="name", outputCol="target", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("id", "features", "target", "fold").cache()
+    rows = materialise(StringIndexer(inputCol="name", outputCol="target", stringOrderType="alphabetAsc").fit(rows).transform(rows).select("id", "features", "target", "fold"))
     scores = None
     for k in [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]:
         train = rows.where(F.col("fold") != k)

@@ -13,7 +13,7 @@ from ..operators import diversity as V
 from ..operators import quality as Q
 from ..operators import training_data as TD
 from ..operators import trees as T
-from ..runtime import is_blank, read_table, term
+from ..runtime import is_blank, materialise, read_table, term
 from .vector_queries import embedded, rounded
 
 THRESHOLDS = [0, 2, 5]
@@ -283,7 +283,7 @@ def t_partition_metrics(spark, d):
     from functools import reduce
 
     merges, ids = _linked(spark, d)
-    cuts = T.partitions(spark, T.merges_array(merges), ids, CUTOFFS).join(embedded(spark, d).select("id", "label"), "id").cache()
+    cuts = materialise(T.partitions(spark, T.merges_array(merges), ids, CUTOFFS).join(embedded(spark, d).select("id", "label"), "id"))
     each = [Q.external_metrics(Q.contingency(cuts.where(F.col("cutoff") == c))).select(F.lit(c).alias("cutoff"), "*") for c in CUTOFFS]
     return rounded(reduce(DataFrame.unionByName, each))
 
@@ -354,7 +354,6 @@ _NEW = "n AS (SELECT id, arg_max(cluster, (reviewed_at, cluster)) AS new FROM k
 _TREE_SQL = "nodes AS (SELECT * FROM (VALUES (1, 0.5, 'click'), (1, 0.5, 'view'), (1, 0.5, 'purchase'), (2, 0.9, 'deposit'), (3, 0.25, 'click'), (4, 0.4, 'view'), (4, 0.4, 'purchase'), (5, 0.3, 'view'), (6, 0.2, 'purchase'), (7, 0.7, 'login'), (7, 0.7, 'signup'), (7, 0.7, 'logout'), (8, 0.6, 'login'), (9, 0.8, 'signup'), (10, 0.1, 'logout')) v(node, length, tip))"
 
 
-
 #: The kinds of events in the test tables.
 EVENT_TYPES = ['click', 'error', 'purchase', 'signup', 'view']
 
