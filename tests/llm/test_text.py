@@ -212,6 +212,22 @@ def test_every_rule_finds_its_example(spark):
     assert [x for i, x in enumerate(texts) if i not in found] == []
 
 
+def test_what_a_rule_matches_has_its_cue(spark):
+    groups = {"PLACEHOLDERS": list(R.PLACEHOLDERS.values()), **{k: getattr(R, k) for k in ("FILLER", "NOTICES", "FAILURES", "SHARED")}}
+    for kind, patterns in groups.items():
+        beginnings, needles = R.cue_of(patterns)
+        assert "" not in beginnings and "" not in needles
+        texts = [*CASES, *PLAIN, *MORE, *(x for e in EXAMPLES.values() for x in e)]
+        cut = R.with_messages(spark.createDataFrame([(t,) for t in texts], "text string"), F.col("text"))
+        lost = cut.where(F.col("message").rlike(R._any(patterns)) & ~R._shown(F.col("message"), patterns))
+        assert [r.message for r in lost.collect()] == [], kind
+    with pytest.raises(ValueError):
+        R.cue_of([r"\w+"])
+    # choices, repeats, optional parts and marks of any length
+    assert R.cue_of([r"^(?:the )?(?:page|site) is \w+"]) == ({"page", "site", "the "}, set())
+    assert R.cue_of([r"^x{2,5}!"])[0] == {"xx!", "xxx!", "xxxx"} and R.cue_of([r"\w+abc{2}d?"]) == (set(), {"abcc"})
+
+
 def test_long_and_cut_placeholders(spark):
     long = "some words of an expression " * 8
     marks = [("{{ ", " }}"), ("${", "}"), ("<<", ">>"), ("[[", "]]"), ("{% ", " %}"), ("<% ", " %>"), ("*|", "|*")]
