@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from morphex.llm import clusters as C
@@ -203,3 +204,28 @@ def test_clusters_cover_all_rows(spark):
         best = sorted(((-q.closeness, q.id) for q in a.where(a.cluster == r.cluster).collect()))[:3]
         assert r.members == [i for _, i in best]
     assert C.assign_clusters(spark.createDataFrame([], "id string, v array<float>")).count() == 0
+
+
+def test_pairs_of_a_least_cosine_are_routed_by_their_own_reach(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 200)
+    x = np.vstack([clumps(groups=150), np.random.default_rng(5).normal(size=(3300, 16)).astype(np.float32)])
+    u = unit(x).astype(np.float32)
+    rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "row_id long, v array<float>").repartition(4)
+    centroids = N.fit_centroids(u, 24)
+    all_, similar = (N.fit_reach(rows, u, np.arange(len(u)), centroids, 5, least) for least in (None, 0.9))
+    s = u @ u.T
+    np.fill_diagonal(s, -3)
+    near = np.argsort(-s, axis=1)[:, :5]
+    c = u @ centroids.T
+    own = c.argmax(axis=1)
+    i, j = np.repeat(np.arange(len(u)), 5), near.ravel()
+    apart = np.maximum(np.linalg.norm(centroids[own[i]] - centroids[own[j]], axis=1), 1e-6)
+    gap = np.minimum(c[i, own[i]] - c[i, own[j]], c[j, own[j]] - c[j, own[i]]) / apart
+    assert (gap <= all_ + 1e-5).mean() >= N.ROUTE_RECALL - 0.005 and (gap[s[i, j] >= 0.9] <= similar + 1e-5).all() and similar < all_
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32()))], names=["row_id", "v"])
+    asked = [sum(len(t) for b in N._placer(centroids, reach, np.ones(24, int))([batch]) for t in b.column("targets").to_pylist()) for reach in (similar, all_)]
+    assert asked[0] < 0.7 * asked[1]
+    # the pairs are those of the exact lists
+    got = {(r.id, r.neighbour) for r in N.nearest_neighbours(frame(spark, x), 5, least_cosine=0.9).collect()}
+    want = {(f"s/{a:05d}.jpg", f"s/{b:05d}.jpg") for a, b in zip(i, j) if s[a, b] >= 0.9}
+    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
