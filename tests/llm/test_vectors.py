@@ -229,3 +229,37 @@ def test_pairs_of_a_least_cosine_are_routed_by_their_own_reach(spark, monkeypatc
     got = {(r.id, r.neighbour) for r in N.nearest_neighbours(frame(spark, x), 5, least_cosine=0.9).collect()}
     want = {(f"s/{a:05d}.jpg", f"s/{b:05d}.jpg") for a, b in zip(i, j) if s[a, b] >= 0.9}
     assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_rows_are_compared_in_turns(spark, monkeypatch):
+    for name, value in (("AREA_ROWS", 90), ("GUEST_ROWS", 70), ("CLUSTER_ROWS", 60), ("COPIES_AT_ONCE", 1)):
+        monkeypatch.setattr(C, name, value)
+    x = clumps(4)
+    u = unit(x).astype(np.float32)
+    centroids = N.fit_centroids(u, 16)
+    places = C._Places(centroids, 0.5 * np.sqrt(0.2), C.ward(np.ones(16), centroids, 5))
+    n = np.ones(len(x), np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x), pa.list_(pa.float32())), pa.array(n), pa.array(n), pa.array(n)], names=["row_id", "v", "weight", "h1", "h2"])
+    counts = next(places.count([batch])).to_pydict()
+    turns = places.plan(np.array(counts["homes"]), np.array(counts["guests"]), C.COPIES_AT_ONCE * len(x))
+    sent = [[r for b in places.send(t)([batch]) for r in b.select(["task", "row_id", "cells", "home", "mine", "guest"]).to_pylist()] for t in range(turns)]
+    assert turns > 2 and sum(counts["homes"]) == len(x) and max(map(len, sent)) < 1.6 * len(x) < sum(map(len, sent)) / 2
+    # every row of a cluster meets every row compared there once
+    met = {}
+    for r in (r for rows in sent for r in rows):
+        met.setdefault(r["task"], []).append(r)
+    pairs = [(m["row_id"], g["row_id"]) for rows in met.values() for m in rows if m["mine"] for g in rows if g["guest"] and m["home"] in g["cells"]]
+    row, cell, home = places.meetings(batch)
+    assert len(pairs) == len(set(pairs)) == np.bincount(home, minlength=16)[cell].sum()
+    got = []
+    plan = C._Places.plan
+    monkeypatch.setattr(C._Places, "plan", lambda *a: got.append(plan(*a)) or got[-1])
+    assert {(r.group_id, r.id) for r in C.isolated_groups(frame(spark, x)).collect()} == isolated(x) and got[0] > 2
+
+
+def test_short_rows_bound_the_cosines():
+    for dims in (3, 16, 64):
+        x = unit(np.random.default_rng(dims).normal(size=(500, dims)) * np.linspace(1, 3, dims)).astype(np.float32)
+        x[250:] = unit(x[:250] + np.random.default_rng(1).normal(scale=0.3 / np.sqrt(dims), size=(250, dims)))
+        y = C._short(x)
+        assert y.shape[1] < dims + 1 and (y @ y.T >= x @ x.T - 2e-6).all() and (dims < 64 or (y @ y.T >= 0.9).mean() < 0.02)
