@@ -33,6 +33,11 @@ HANGING = 7
 #: Vectors of the next layer whose rows give the first lists, and pairs held before lists are renewed.
 BESIDE = 12
 HELD_PAIRS = 500_000
+#: Where a least similarity is given, a row is compared with those below VISIT_MARGIN times as many entries as any pair needs of
+#: VISIT_ROWS rows' exact lists; with fewer than VISIT_PAIRS of such pairs with those below HANGING * sqrt(m), as without it.
+VISIT_ROWS = 768
+VISIT_MARGIN = 1.5
+VISIT_PAIRS = 100
 
 
 def nearest_lists(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +109,44 @@ def _keep_best(near: np.ndarray, sim: np.ndarray, row: np.ndarray, other: np.nda
         near[touched + a], sim[touched + a] = np.take_along_axis(i, best, axis=1), np.take_along_axis(v, best, axis=1)
 
 
-def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def usual_visits(m: int) -> int:
+    return min(m, max(BESIDE, int(np.ceil(HANGING * np.sqrt(m)))))
+
+
+def fit_visits(x: np.ndarray, entries: np.ndarray, home: np.ndarray, least: float) -> tuple[int, int]:
+    """Below how many of the entries nearest to a row the rows of similarity ``least`` to it are looked for: if either row of a pair looks, and if only one does.
+
+    Both from exact lists of VISIT_ROWS rows; ``usual_visits`` at most.
+    """
+    m = len(entries)
+    asked, both, one = np.unique(np.linspace(0, len(x) - 1, VISIT_ROWS).astype(np.int64)), [], []
+    for a in range(0, len(asked), 32):
+        q = asked[a : a + 32]
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -3
+        r, c = np.nonzero(s >= least)
+        if len(r) > CANDIDATES * len(q):  # as long as lists are
+            order = np.lexsort((-s[r, c], r))
+            r, c = r[order], c[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < CANDIDATES
+            r, c = r[keep], c[keep]
+        mine, other = x[q[r]] @ entries.T, x[c] @ entries.T
+        at = np.arange(len(r))
+        there = (mine > mine[at, home[c]][:, None]).sum(axis=1)
+        back = (other > other[at, home[q[r]]][:, None]).sum(axis=1)
+        both.append(np.minimum(there, back))
+        one.append(np.maximum(there, back))
+    usual = usual_visits(m)
+    if sum(map(len, one)) < VISIT_PAIRS:
+        return usual, usual
+    return tuple(int(min(usual, max(BESIDE, np.ceil(VISIT_MARGIN * (np.concatenate(n).max() + 1))))) for n in (both, one))
+
+
+def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray, visited: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Like ``nearest_lists``, from the rows that hang below the nearest vectors of the layer above.
 
     ``entries``: the vectors of that layer; ``home``: the one of them that each row hangs below, rows sorted by it. A row is compared with
-    all rows below the entries nearest to it, and what is found serves both rows of a pair.
+    all rows below the ``visited`` entries nearest to it, and what is found serves both rows of a pair.
     """
     n, m = len(x), len(entries)
     start = np.searchsorted(home, np.arange(m + 1))
@@ -132,10 +170,10 @@ def hanging_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarr
             near[mine, :k], sim[mine, :k] = there[best], np.take_along_axis(s, best, axis=1)
     near[sim < -2] = -1
     visits = np.empty((m, -(-n // 8)), np.uint8)
-    few = min(m, max(BESIDE, int(np.ceil(HANGING * np.sqrt(m)))))
-    for a in range(0, n, 4096):
-        s = x[a : a + 4096] @ entries.T
-        visits[:, a // 8 : -(-min(a + 4096, n) // 8)] = np.packbits((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T, axis=1)
+    few = usual_visits(m) if visited is None else visited
+    for a in range(0, n, 1024):
+        s = x[a : a + 1024] @ entries.T
+        visits[:, a // 8 : -(-min(a + 1024, n) // 8)] = np.packbits((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T, axis=1)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     waiting, kth = 0, sim.min(axis=1)
     for h in range(m):
@@ -206,11 +244,62 @@ def choose_links(x: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray
 
 @dataclass
 class Graph:
-    """``x``: unit rows; ``links[l]``: links of layer l in its own numbering; ``below[l]``: places of layer l + 1 in layer l."""
+    """``x``: unit rows; ``links[l]``: links of layer l in its own numbering; ``below[l]``: places of layer l + 1 in layer l.
+
+    ``starts``: where in x the rows below each vector of layer 1 begin, with the end; ``visits``: below how many of these a row of at least
+    the similarity that the graph was built for is looked for (0 if for none).
+    """
 
     x: np.ndarray
     links: list[np.ndarray]
     below: list[np.ndarray]
+    starts: np.ndarray | None = None
+    visits: int = 0
+
+    def search_similar(self, queries: np.ndarray, ef: int, wanted: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``search``, for a graph that was built for a least similarity, of rows that are at least as similar as ``wanted``, which isn't less than that.
+
+        All rows below the ``visits`` nearest vectors of layer 1 are compared; from the best of those that are similar enough the links are followed.
+        """
+        if not self.below or not self.visits:
+            return self.search(queries, ef, wanted)
+        found, sim = np.full((len(queries), ef), -1, np.int32), np.full((len(queries), ef), -2, np.float32)
+        above = np.ascontiguousarray(self.x[self.below[0]].T)
+        m = above.shape[1]
+        few = min(m, self.visits)
+        for a in range(0, len(queries), block):
+            q, least = queries[a : a + block], wanted[a : a + block].astype(np.float32) - np.float32(1e-5)
+            s = q @ above
+            goes = np.ascontiguousarray((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T)
+            met = []
+            for h in range(m):
+                i = np.flatnonzero(goes[h])
+                if not len(i) or self.starts[h] == self.starts[h + 1]:
+                    continue
+                s = q[i] @ self.x[self.starts[h] : self.starts[h + 1]].T
+                r, c = np.nonzero(s >= least[i][:, None])
+                if len(r):
+                    met.append((i[r], (c + self.starts[h]).astype(np.int32), s[r, c]))
+            if not met:
+                continue
+            # no row meets a query twice, since it hangs below one vector
+            i, j, s = (np.concatenate(p) for p in zip(*met))
+            _keep_best(found[a : a + block], sim[a : a + block], i, j, s)
+            rows = np.flatnonzero((found[a : a + block] >= 0).any(axis=1))
+            order = np.argsort(-sim[a + rows], axis=1, kind="stable")
+            first = np.take_along_axis(found[a + rows], order[:, :SEEDS], axis=1)
+            for b in range(0, len(rows), 256):
+                of = rows[b : b + 256]
+                i, s = _follow(self.x, None, self.links[0], q[of], first[b : b + 256], ef, wanted[a + of])
+                # what was compared before and what the links led to, each row once
+                both, value = np.concatenate([found[a + of], i], axis=1), np.concatenate([sim[a + of], s], axis=1)
+                by = np.argsort(both, axis=1, kind="stable")
+                both, value = np.take_along_axis(both, by, axis=1), np.take_along_axis(value, by, axis=1)
+                value[:, 1:][(both[:, 1:] == both[:, :-1]) | (both[:, 1:] < 0)] = -2
+                by = np.argsort(-value, axis=1, kind="stable")[:, :ef]
+                sim[a + of] = np.take_along_axis(value, by, axis=1)
+                found[a + of] = np.where(sim[a + of] > -2, np.take_along_axis(both, by, axis=1), -1)
+        return found, sim
 
     def search(self, queries: np.ndarray, ef: int, wanted: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """(indices, similarities), best first, of about the ``ef`` most similar rows of each unit query; -1 fills up.
@@ -302,14 +391,16 @@ def _follow(x: np.ndarray, rows: np.ndarray | None, links: np.ndarray, q: np.nda
     return np.where(free, -1, pool & (_DONE - 1)).astype(np.int32), np.where(free, -2.0, (_ONE - (pool >> 32)) / _ONE).astype(np.float32)
 
 
-def candidate_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return nearest_lists(x, count) if len(x) <= ALL_PAIRS else hanging_lists(x, count, entries, home)
+def candidate_lists(x: np.ndarray, count: int, entries: np.ndarray, home: np.ndarray, visited: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    return nearest_lists(x, count) if len(x) <= ALL_PAIRS else hanging_lists(x, count, entries, home, visited)
 
 
-def build(x: np.ndarray, seed: int = 7) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+def build(x: np.ndarray, seed: int = 7, least: float | None = None) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     """(graph of the unit rows ``x``, candidate lists of its lowest layer and their similarities, order of the rows in it).
 
     Rows that hang below the same vector of the next layer lie side by side, and so do such vectors near each other.
+    With ``least`` the lists of the lowest layer are sure to hold only rows of at least this similarity (see ``fit_visits``); less similar
+    ones in them are good enough for links.
     """
     rng = np.random.default_rng(seed)
     layers = [np.arange(len(x))]  # places in x, lowest layer first
@@ -325,15 +416,22 @@ def build(x: np.ndarray, seed: int = 7) -> tuple[Graph, np.ndarray, np.ndarray,
         layers[level] = rows[order]
         homes.insert(0, home[order])
     links, below, near, sim = [], [], None, None
+    visited, visits, starts = None, 0, None
+    vectors = [x[rows] for rows in layers]
+    total = len(x)
+    del x
+    if least is not None and homes:
+        visited, visits = fit_visits(vectors[0], vectors[1], homes[0], least)
+        starts = np.searchsorted(homes[0], np.arange(len(vectors[1]) + 1))
     for level in range(max(1, len(layers) - 1)):
-        own = x[layers[level]]
-        above = layers[min(level + 1, len(layers) - 1)]
-        i, s = candidate_lists(own, CANDIDATES, x[above], homes[level] if homes else np.zeros(len(own), np.int64))
+        own = vectors[level]
+        above = min(level + 1, len(layers) - 1)
+        i, s = candidate_lists(own, CANDIDATES, vectors[above], homes[level] if homes else np.zeros(len(own), np.int64), None if level else visited)
         links.append(choose_links(own, i, s))
         if level == 0:
             near, sim = i, s
         if level + 1 < len(layers):
-            place = np.empty(len(x), np.int64)
+            place = np.empty(total, np.int64)
             place[layers[level]] = np.arange(len(layers[level]))
-            below.append(place[above])
-    return Graph(x[layers[0]], links, below), near, sim, layers[0]
+            below.append(place[layers[above]])
+    return Graph(vectors[0], links, below, starts, visits), near, sim, layers[0]
