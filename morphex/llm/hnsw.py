@@ -126,10 +126,9 @@ def fit_visits(x: np.ndarray, entries: np.ndarray, home: np.ndarray, least: floa
         s[np.arange(len(q)), q] = -3
         r, c = np.nonzero(s >= least)
         if len(r) > CANDIDATES * len(q):  # as long as lists are
-            order = np.lexsort((-s[r, c], r))
-            r, c = r[order], c[order]
-            keep = np.arange(len(r)) - np.searchsorted(r, r) < CANDIDATES
-            r, c = r[keep], c[keep]
+            best = np.argpartition(-s, CANDIDATES - 1, axis=1)[:, :CANDIDATES]
+            r, at = np.nonzero(np.take_along_axis(s, best, axis=1) >= least)
+            c = best[r, at]
         mine, other = x[q[r]] @ entries.T, x[c] @ entries.T
         at = np.arange(len(r))
         there = (mine > mine[at, home[c]][:, None]).sum(axis=1)
@@ -271,20 +270,27 @@ class Graph:
             q, least = queries[a : a + block], wanted[a : a + block].astype(np.float32) - np.float32(1e-5)
             s = q @ above
             goes = np.ascontiguousarray((s >= np.partition(s, m - few, axis=1)[:, m - few, None]).T)
-            met = []
+            held, waiting, any_ = [], 0, False
             for h in range(m):
                 i = np.flatnonzero(goes[h])
                 if not len(i) or self.starts[h] == self.starts[h + 1]:
                     continue
-                s = q[i] @ self.x[self.starts[h] : self.starts[h + 1]].T
-                r, c = np.nonzero(s >= least[i][:, None])
-                if len(r):
-                    met.append((i[r], (c + self.starts[h]).astype(np.int32), s[r, c]))
-            if not met:
+                under = self.x[self.starts[h] : self.starts[h + 1]].T
+                step = max(1, BLOCK_FLOATS // (8 * under.shape[1]))
+                for b in range(0, len(i), step):
+                    of = i[b : b + step]
+                    s = q[of] @ under
+                    r, c = np.nonzero(s >= least[of][:, None])
+                    if len(r):
+                        held.append((of[r], (c + self.starts[h]).astype(np.int32), s[r, c]))
+                        waiting, any_ = waiting + len(r), True
+                    if waiting > HELD_PAIRS:  # no row meets a query twice, since it hangs below one vector
+                        _keep_best(found[a : a + block], sim[a : a + block], *(np.concatenate(p) for p in zip(*held)))
+                        held, waiting, least = [], 0, np.maximum(least, sim[a : a + block].min(axis=1))
+            if held:
+                _keep_best(found[a : a + block], sim[a : a + block], *(np.concatenate(p) for p in zip(*held)))
+            if not any_:
                 continue
-            # no row meets a query twice, since it hangs below one vector
-            i, j, s = (np.concatenate(p) for p in zip(*met))
-            _keep_best(found[a : a + block], sim[a : a + block], i, j, s)
             rows = np.flatnonzero((found[a : a + block] >= 0).any(axis=1))
             order = np.argsort(-sim[a + rows], axis=1, kind="stable")
             first = np.take_along_axis(found[a + rows], order[:, :SEEDS], axis=1)

@@ -296,6 +296,18 @@ def test_similar_rows_are_found_below_few_vectors_of_the_next_layer():
     assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in found)
 
 
+def test_searches_among_very_many_similar_rows_hold_few(monkeypatch):
+    monkeypatch.setattr(hnsw, "HELD_PAIRS", 2000)
+    x = unit(1 + np.random.default_rng(3).normal(scale=0.2, size=(5000, 24))).astype(np.float32)  # every pair is similar
+    q, x = x[:60], x[60:]
+    g, *_, order = hnsw.build(x, least=0.9)
+    g.visits = len(g.below[0])
+    asked, keep = [], hnsw._keep_best
+    monkeypatch.setattr(hnsw, "_keep_best", lambda *p: asked.append(len(p[2])) or keep(*p))
+    found, value = g.search_similar(q, 16, np.full(len(q), 0.9))
+    best = -np.sort(-(q @ x.T), axis=1)[:, :16]
+    assert np.allclose(value, best, atol=1e-5) and max(asked) < 2000 + 60 * np.diff(g.starts).max()
+
 def test_pairs_of_a_least_cosine_meet_across_shards(spark, monkeypatch):
     monkeypatch.setattr(N, "CELL_ROWS", 8000)
     monkeypatch.setattr(N, "SHARD_ROWS", 12_000)
